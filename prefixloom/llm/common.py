@@ -51,3 +51,12 @@ def words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those called like one of ``names``, in any case of letters.
+
+    Operators replace an input column that is called like one of their results.
+    """
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]

@@ -18,8 +18,8 @@ first); beyond, every place is exploded and joined with the shingle table by a s
 
 Defined results: a null text, a null item and texts without words match nothing; an item of fewer
 words than a shingle is compared by shingles of its own length; repeated documents are judged row by
-row, repeated items all report; extra columns pass through ``contamination``; an empty table of
-documents gives an empty result, an empty benchmark no hits.
+row, repeated items all report; an item without an id counts as hit words only; extra columns pass
+through ``contamination``, but for those named like RESULTS, which are replaced; an empty table of documents gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, others, written
 
 WINDOW = 10
 SHINGLE = 3
 LITERAL_SHINGLES = 20_000
+RESULTS = ("n_words", "n_hit", "n_items", "items", "contaminated")
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -68,7 +69,7 @@ def places(docs: DataFrame, text: str, table: DataFrame, lengths: list[int], lit
     A place is (k, pos, sh, from, near): near are the words from place ``from`` on, enough for any window.
     ``literal``: the rows of ``table``, if they are few enough to stand in the plan.
     """
-    kept = [F.col(c) for c in docs.columns if c != text]
+    kept = [F.col(c) for c in others(docs, text, *RESULTS)]
     rows = docs.select(*kept, F.monotonically_increasing_id().alias("_dc_row"), item_words(F.col(text)).alias("_dc_w"))
     size = F.size("_dc_w").cast("long").alias("n_words")
 
@@ -111,7 +112,7 @@ def contamination(
     counts = at.groupBy("k", "sh").agg(F.count("*").alias("n"))
     # The rarest shingle of each window; none of a window's shingles may be missing from the corpus.
     ranked = shingles.join(counts, ["k", "sh"], "left").groupBy("k", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "sh")).alias("p"))
-    owners = own.where(F.col("item_id").isNotNull()).groupBy("w").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    owners = own.groupBy("w").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     prefix = ranked.where("p.n > 0").join(owners, "w").select("k", "p.sh", "p.off", "w", "ids")
     if bounded:
         prefix = F.broadcast(prefix)  # at most a row per shingle of the list counted above
@@ -122,7 +123,7 @@ def contamination(
     hit = spans.groupBy("_dc_row").agg(F.collect_set("span").alias("_dc_spans"), F.collect_set("ids").alias("_dc_ids"))
     under = F.array_distinct(F.flatten(F.transform("_dc_spans", lambda s: F.sequence(s["a"], s["a"] + s["n"] - 1))))
     found = hit.select("_dc_row", F.size(under).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_dc_ids"))).alias("items"))
-    kept = [base[c] for c in base.columns if c not in ("_dc_at", "_dc_row")]
+    kept = [base[c] for c in others(base, "_dc_at", "_dc_row")]
     n_hit, ids = F.coalesce(found["n_hit"], F.lit(0)), F.coalesce(found["items"], F.array().cast("array<string>"))
     j = base.drop("_dc_at").join(found, "_dc_row", "left")
     return j.select(*kept, n_hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("items"), (n_hit > 0).alias("contaminated"))

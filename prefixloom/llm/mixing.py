@@ -13,7 +13,8 @@ iff c_i / w_i <= (W - sum of c before i) / (sum of w from i), so running sums de
 
 Defined results: a null text has size 0 and is taken 0 words; a null source is a source; repeated
 rows have equal keys and are cut one after the other; with no words at all every target is 0; an
-empty table gives an empty result; extra columns pass through.
+empty table gives an empty result; extra columns pass through, but for those named like RESULTS,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -21,17 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import others, words, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Ranges of a source's keys: 16 ** RANGE_DIGITS.
 RANGE_DIGITS = 3
+RESULTS = ("size", "source_size", "target", "taken")
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with size: its words."""
-    return docs.select(*[c for c in docs.columns if c != text], F.size(words(F.col(text))).cast("long").alias("size"))
+    return docs.select(*others(docs, text, *RESULTS), F.size(words(F.col(text))).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:

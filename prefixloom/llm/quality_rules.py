@@ -7,7 +7,7 @@ shrunk towards the corpus by a beta prior whose parameters are fitted to the rat
 
 Defined results for odd input: a null text has no words and fails ``short``; a null source is a
 host of its own; repeated rows are judged one by one; an empty table gives an empty result; extra
-columns pass through ``measured`` and ``judge`` untouched (names starting with ``_qr_`` are taken).
+columns pass through ``measured`` and ``judge``, but for those named like a result, which are replaced.
 
 Windows are compared by a 64-bit hash of their five word hashes: two different windows of a text of
 a million words collide with a probability under 1e-7.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, words, written
+from .common import SPACE_CHARS, others, words, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -43,7 +43,7 @@ def rules() -> dict[str, Column]:
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with the five MEASURES (long) and ``_qr_lines``; one pass, no shuffle."""
-    kept = [F.col(c) for c in docs.columns if c != text]
+    kept = [F.col(c) for c in others(docs, text, *MEASURES, "base_failed", "kept", "host_ok")]
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != "")
     # Each select below uses the last one's arrays more than once, which keeps Spark from inlining them.
@@ -82,12 +82,12 @@ def host_verdicts(measures: DataFrame, host: str = "source", max_rate: float = M
     names = list(rules())
     sums = measures.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), *[F.sum(r.cast("long")).alias(f"_f_{k}") for k, r in rules().items()])
     rate = {k: F.col(f"_f_{k}") / F.col("n_docs") for k in names}
-    prior = sums.agg(F.avg("n_docs").alias("_size"), *[F.avg(rate[k]).alias(f"_m_{k}") for k in names], *[F.var_pop(rate[k]).alias(f"_v_{k}") for k in names])
-    both = sums.crossJoin(F.broadcast(prior))  # one row of prior: an aggregate without keys
+    prior = sums.agg(F.struct(F.avg("n_docs").alias("size"), *[F.avg(rate[k]).alias(f"m_{k}") for k in names], *[F.var_pop(rate[k]).alias(f"v_{k}") for k in names]).alias("p"))
+    both = sums.withColumn("_p", prior.scalar())
     out = [F.col("host"), F.col("n_docs")]
     for k in names:
-        m, v = F.col(f"_m_{k}"), F.col(f"_v_{k}")
-        weight = F.when(v > 1e-12, F.greatest(m * (1 - m) / F.greatest(v, F.lit(1e-12)) - 1, F.lit(0.0))).otherwise(F.col("_size"))
+        m, v = F.col(f"_p.m_{k}"), F.col(f"_p.v_{k}")
+        weight = F.when(v > 1e-12, F.greatest(m * (1 - m) / F.greatest(v, F.lit(1e-12)) - 1, F.lit(0.0))).otherwise(F.col("_p.size"))
         out.append(((F.col(f"_f_{k}") + weight * m) / (F.col("n_docs") + weight)).alias(f"rate_{k}"))
     shrunk = both.select(*out)
     return shrunk.withColumn("host_ok", F.greatest(*[F.col(f"rate_{k}") for k in names]) <= max_rate)

@@ -7,15 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules
+from . import decontaminate, mixing, quality_rules, simhash, token_count
 from .common import read
 
 
+#: The counted vocabulary; a path, never a copy.
+TOKEN_MODEL = "piece_bpe_32k.model"
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
     return quality_rules.judge(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_count.counted(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKEN_MODEL))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -29,7 +44,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_host_rules": op4_host_rules,
+    "op8_token_count": op8_token_count,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
 }
