@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, simhash, token_count
+from . import decontaminate, language_id, mixing, quality_classifier, quality_rules, simhash, token_count
 from .common import read
 
 
@@ -20,6 +20,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality")
+    weights = quality_classifier.fit(docs, labels.where(language_id.remainder(F.col("doc_id"), 3) != 1))
+    held = F.coalesce(language_id.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return quality_classifier.scored(docs.withColumn("held_out", held), weights).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    rest = language_id.remainder(F.col("doc_id"), 4)
+    model = language_id.fit(docs.where(rest != 2))
+    out = language_id.predicted(docs.drop("lang").withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "source", "text")
     return quality_rules.judge(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
@@ -45,6 +61,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
     "op4_host_rules": op4_host_rules,
     "op8_token_count": op8_token_count,
     "op9_mix_sources": op9_mix_sources,
