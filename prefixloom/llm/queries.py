@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality_classifier, quality_rules, simhash, token_count
+from . import decontaminate, html_templates, language_id, mixing, quality_classifier, quality_rules, simhash, token_count
 from .common import read
 
 
@@ -41,6 +41,11 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_templates.extracted(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_host_rules": op4_host_rules,
+    "op5_main_text": op5_main_text,
     "op8_token_count": op8_token_count,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
