@@ -68,18 +68,18 @@ def _hash(*parts: object) -> int:
 
 
 class Block:
-    """A text block: its words joined by single spaces, the containers' path, whether it is in a main element, an unwanted one, the share in links."""
+    """A text block: its words joined by single spaces, the path of numbered containers, whether it is in a main element, an unwanted one, the share in links."""
 
     __slots__ = ("text", "path", "main", "aside", "linked", "at")
 
-    def __init__(self, text, path, main, aside, linked, at):
+    def __init__(self, text: str, path: str, main: bool, aside: bool, linked: float, at: int):
         self.text, self.path, self.main, self.aside, self.linked, self.at = text, path, main, aside, linked, at
 
 
 def parsed(html: str | None) -> tuple[list[str], list[Block]]:
     """The page's tags by path, in order, and its text blocks."""
     html = html or ""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, in a main element, in an unwanted one
+    stack: list[tuple[str, str, str, bool, bool]] = []  # tag, path of tags, path of numbers, in a main element, in an unwanted one
     tags: list[str] = []
     blocks: list[Block] = []
     pieces: list[str] = []
@@ -89,7 +89,7 @@ def parsed(html: str | None) -> tuple[list[str], list[Block]]:
         text = " ".join(unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            _, path, main, aside = stack[-1] if stack else ("", "", False, False)
+            _, _, path, main, aside = stack[-1] if stack else ("", "", "", False, False)
             blocks.append(Block(text, path, main, aside, links[1] / len(text), len(tags)))
         links[1] = 0
 
@@ -130,14 +130,15 @@ def parsed(html: str | None) -> tuple[list[str], list[Block]]:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             stack.pop()
-        _, path, main, aside = stack[-1] if stack else ("", "", False, False)
+        _, path, numbers, main, aside = stack[-1] if stack else ("", "", "", False, False)
         names = {p.lower() for n in _NAMED.findall(attributes) for p in _PART.findall(n)}
         main = main or tag in MAIN
         unwanted = bool(names & NAMES) and tag not in ("html", "body") or not main and bool(names & OUTSIDE)
         aside = aside or unwanted or tag in ASIDE and not (tag == "header" and main)
-        path = f"{path}/{tag}" if tag != "p" else path
+        if tag != "p":
+            path, numbers = f"{path}/{tag}", f"{numbers}{len(tags)}/"
         tags.append(path + "".join(f".{n}" for n in sorted(names)))
-        stack.append((tag, path, main, aside))
+        stack.append((tag, path, numbers, main, aside))
     flush()
     return tags, blocks
 
@@ -173,9 +174,9 @@ def main_text(html: str | None, template: np.ndarray | None = None) -> str:
         weight: Counter = Counter()
         for b in wanted:
             weight[of(b)] += len(b.text) * (1 - min(1.0, b.linked))
-        best, most = max(weight.items(), key=lambda x: x[1])
+        best = max(weight, key=weight.get)
         path = best[0] if known else best
-        own = [b for b in wanted if b.linked < 0.5 and (of(b) == best or b.path.startswith(path) and weight[of(b)] >= 0.1 * most)]
+        own = [b for b in wanted if b.linked < 0.5 and b.path.startswith(path)]
     if known:
         repeated = [b for b in own if _hash("text", b.text) in known]
         if sum(len(b.text) for b in repeated) <= OWN_SHARE * sum(len(b.text) for b in own):

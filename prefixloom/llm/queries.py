@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_templates, language_id, mixing, quality_classifier, quality_rules, simhash, token_count
+from . import decontaminate, html_templates, language_id, license_scan, mixing, pii, quality_classifier, quality_rules, simhash, token_count
 from .common import read
 
 
@@ -46,6 +46,15 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", "n_chars")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.searched(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_host_rules": op4_host_rules,
     "op5_main_text": op5_main_text,
+    "op6_personal_data": op6_personal_data,
+    "op7_licenses": op7_licenses,
     "op8_token_count": op8_token_count,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
