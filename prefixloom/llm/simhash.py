@@ -187,18 +187,18 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     one = F.array(F.struct(F.lit(0).cast("long").alias("tree"), role(2)))
     own = F.array(F.struct(F.col("_own").alias("tree"), role(0)))
     # A pair of a cut shard is found by the one of the lower tree, which visits the higher ones, or inside its tree.
-    guest = F.when(F.col("_trees") > F.col("_own") , F.transform(F.sequence(F.col("_own"), F.col("_trees") - 1), lambda t: F.struct(t.alias("tree"), role(1))))
+    guest = F.when(F.col("_trees") > F.col("_own"), F.transform(F.sequence(F.col("_own"), F.col("_trees") - 1), lambda t: F.struct(t.alias("tree"), role(1))))
     rows = rows.select("fp", "shard", F.explode(F.when(F.col("_trees").isNull(), one).otherwise(F.concat(own, guest))).alias("_to")).select("shard", "_to.tree", "_to.role", "fp")
     dealt = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "role")
     return dealt.mapInPandas(lambda batches: _search_sorted(batches, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp (long) and component_id of every row of ``docs``."""
-    prints = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (), radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """doc_id, fp (long), component_id and root (the component's least fingerprint) of every row of ``docs``, and the columns ``carry``."""
+    prints = written(docs.select(F.col(doc_id).alias("doc_id"), *carry, fingerprints(F.col(text)).alias("fp")))
     by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
     roots = components(links(by_print.select("fp"), radius, shard))
-    rooted = by_print.join(roots, by_print["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
-    least = rooted.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("component_id"))
-    by_print_id = rooted.join(least, rooted["_root"] == least["_r"]).select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(by_print_id, prints["fp"] == by_print_id["_fp"], "left").select("doc_id", "fp", "component_id")
+    rooted = by_print.join(roots, by_print["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("_least").alias("component_id"))
+    by_print_id = rooted.join(least, rooted["root"] == least["_r"]).select(F.col("fp").alias("_fp"), "component_id", "root")
+    return prints.join(by_print_id, prints["fp"] == by_print_id["_fp"], "left").select("doc_id", *carry, "fp", "component_id", "root")
