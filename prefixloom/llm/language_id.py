@@ -91,16 +91,16 @@ class Model:
             return
         held = np.arange(len(y)) % 5 == 4  # for the reliabilities; then all are learned from
         if held.any() and len(set(y[~held])) > 1:
-            self._fit(x[~held], y[~held])
-            right = ((self.margins(x[held]) * self.code[y[held]]) > 0).sum(0)
+            self._fit(x, y, ~held)
+            right = ((self.margins(x) * self.code[y]) > 0)[held].sum(0)
             p = (right + 1) / (held.sum() + 2)
             self.reliability = np.clip(np.log(p / (1 - p)), 0.1, 5).astype(np.float32)
-        self._fit(x, y)
+        self._fit(x, y, np.ones(len(y), bool))
 
-    def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Full-batch logistic regression of all bits with adaptive steps; every language weighs alike."""
-        share = np.bincount(y, minlength=len(self.langs))
-        weight = (1 / np.maximum(share, 1))[y][:, None].astype(np.float32)
+    def _fit(self, x: np.ndarray, y: np.ndarray, used: np.ndarray) -> None:
+        """Full-batch logistic regression of all bits with adaptive steps on the rows ``used``, which aren't copied; every language weighs alike."""
+        share = np.bincount(y[used], minlength=len(self.langs))
+        weight = (used / np.maximum(share, 1)[y])[:, None].astype(np.float32)
         weight /= weight.sum()
         sign = self.code[y]
         w, b = np.zeros_like(self.w), np.zeros_like(self.b)
@@ -138,11 +138,17 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 @pandas_udf(BinaryType())
 def _histograms(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if (h := histogram(t)) is None else h.astype(np.float16).tobytes() for t in texts])
+    """Sparse: the buckets in use, then their values; 4 bytes each."""
+
+    def packed(h: np.ndarray) -> bytes:
+        at = np.flatnonzero(h)
+        return at.astype(np.uint16).tobytes() + h[at].astype(np.float16).tobytes()
+
+    return pd.Series([None if (h := histogram(t)) is None else packed(h) for t in texts])
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Learns from ``labelled``: a bounded sample of it is drawn, its histograms (16 KB each) come to the driver."""
+    """Learns from ``labelled``: a bounded sample of it is drawn, its histograms (4 bytes a bucket in use) come to the driver."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
     draw = F.pmod(F.xxhash64(F.lit("lang"), F.col(doc_id)), F.lit(1 << 30))
@@ -153,13 +159,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         want |= (F.col(lang) == r[0]) & (draw < int(min(1.0, 1.2 * part / r[1]) * (1 << 30)) + 1)
     rows = known.where(want).select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(doc_id).alias("id"), F.col(text).alias("t"))
     rows = rows.select("lang", "draw", "id", _histograms("t").alias("h")).where("h IS NOT NULL").orderBy("draw", "id", "h").limit(int(1.3 * sample)).select("lang", "h").collect()
-    own, by = [], dict.fromkeys((r[0] for r in counts), 0)
+    langs, x, by = [], np.zeros((min(len(rows), sample), BUCKETS), np.float32), dict.fromkeys((r[0] for r in counts), 0)
     for r in rows:
         if by[r["lang"]] < part:
             by[r["lang"]] += 1
-            own.append(r)
-    x = np.stack([np.frombuffer(r["h"], np.float16).astype(np.float32) for r in own]) if own else np.zeros((0, BUCKETS), np.float32)
-    return Model(x, [r["lang"] for r in own])
+            n = len(r["h"]) // 4
+            x[len(langs), np.frombuffer(r["h"], np.uint16, n)] = np.frombuffer(r["h"], np.float16, n, 2 * n)
+            langs.append(r["lang"])
+    del rows
+    return Model(x[: len(langs)], langs)
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = True) -> DataFrame:
