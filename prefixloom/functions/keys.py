@@ -45,10 +45,10 @@ def words_le(text: Column) -> Column:
 
 
 def fnv128(words: Column) -> Column:
-    """32 hex digits: both lanes' fold over 32-bit words. To be built inside ``wrapping``."""
+    """32 hex digits: the second lane's fold over 32-bit words, then the first's. To be built inside ``wrapping``."""
     masked = F.transform(words, lambda w: w.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
     lanes = [_lane(masked, seed, prime) for seed, prime in zip(SEEDS, PRIMES)]
-    return F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in lanes]))
+    return F.lower(F.concat(*[F.lpad(F.hex(x), 16, "0") for x in reversed(lanes)]))
 
 
 def _lane(words: Column, seed: int, prime: int) -> Column:
@@ -68,10 +68,11 @@ def blob_key(fingerprint: dict[str, Column], engine: Column, tokens: Column) ->
     sep = F.array(F.lit(SEPARATOR).cast("bigint"))
     none = F.array().cast("array<bigint>")
     parts = [field(fingerprint[k].cast("string")) for k in ("model_id", "tokenizer_hash", "kv_dtype", "kv_layout_version")]
+    parts += [field(F.coalesce(fingerprint.get(k, F.lit(0)).cast("string"), F.lit("0"))) for k in ("kv_bits", "kv_group_size")]
     for k in ("cache_layout", "content_digest", "kv_tier"):
         v = F.coalesce(fingerprint.get(k, F.lit("")), F.lit(""))
         parts.append(F.when(v != "", field(v)).otherwise(""))
-    engine = F.coalesce(engine, F.lit(DEFAULT_ENGINE))
+    engine = F.coalesce(F.nullif(engine, F.lit("")), F.lit(DEFAULT_ENGINE))
     lead = F.when(engine != DEFAULT_ENGINE, F.concat(words_le(field(engine)), sep)).otherwise(none)
     return fnv128(F.concat(lead, words_le(F.concat(*parts)), sep, tokens.cast("array<bigint>")))
 

@@ -113,7 +113,7 @@ def settled_stats(spark, d):
 # Identity
 
 _LANE = "list_reduce(list_prepend({seed}::UHUGEINT, list_transform(w, lambda x: x::UHUGEINT)), lambda h, x: (xor(h, x) * {prime}::UHUGEINT) % 18446744073709551616::UHUGEINT)"
-_FNV = "lower(lpad(to_hex(" + _LANE.format(seed=0xCBF29CE484222325, prime=0x100000001B3) + "), 16, '0') || lpad(to_hex(" + _LANE.format(seed=0x9E3779B97F4A7C15, prime=0x880355F21E6D1965) + "), 16, '0'))"
+_FNV = "lower(lpad(to_hex(" + _LANE.format(seed=0x9E3779B97F4A7C15, prime=0x880355F21E6D1965) + "), 16, '0') || lpad(to_hex(" + _LANE.format(seed=0xCBF29CE484222325, prime=0x100000001B3) + "), 16, '0'))"
 
 
 @query(f"WITH t AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x: length(x)::UBIGINT) AS w FROM documents) SELECT doc_id, {_FNV} AS prefix_hash FROM t")
