@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.tables import materialised
 
 
-def prefix_sums(df: DataFrame, value: str, order: list[Column], out: str, buckets: int = 64) -> DataFrame:
+def prefix_sums(df: DataFrame, value: str, order: list[Column], out: str, buckets: int | None = None) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over all rows before, in ``order``; no task sees all rows.
 
-    Rows are dealt into ranges of the order; sums of ranges (``buckets`` rows) give each range's start.
+    Rows are dealt into ranges of the order, as many as the session shuffles into unless ``buckets`` says
+    so; sums of ranges give each range's start.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialised(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
     starts = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
     starts = starts.withColumn("_start", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
