@@ -61,7 +61,7 @@ def manifests(files: DataFrame, key: str, content: str = "content") -> DataFrame
     """A row per chunk reference of each manifest: chunk_no, digest, per_head_len, n_heads, first_off, head_stride, payload_len."""
     c = F.col(content)
     ok = files.where((F.octet_length(c) >= 22) & (F.substring(c, 1, 4) == F.lit(b"MCKM")) & (le_int(c, 4, 2) == 1))
-    count = le_int(c, 18 - 4 + 4, 4)
+    count = le_int(c, 14, 8).cast("bigint")
     rows = ok.select(key, c, le_int(c, 6, 8).cast("bigint").alias("payload_len"), count.alias("_n")).where(F.octet_length(c) == 22 + 56 * F.col("_n"))
     rows = rows.withColumn("chunk_no", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))))
     r = F.substring(c, F.lit(23) + 56 * F.col("chunk_no"), F.lit(56))
@@ -72,7 +72,7 @@ def manifests(files: DataFrame, key: str, content: str = "content") -> DataFrame
 
 
 def encode_manifest(payload_len: int, refs: list[tuple[bytes, int, int, int, int]]) -> bytes:
-    return b"MCKM" + struct.pack("<HQII", 1, payload_len, len(refs), 0)[:-4] + b"".join(d + struct.pack("<IIQQ", *rest) for d, *rest in refs)
+    return b"MCKM" + struct.pack("<HQQ", 1, payload_len, len(refs)) + b"".join(d + struct.pack("<IIQQ", *rest) for d, *rest in refs)
 
 
 def segments(files: DataFrame, content: str = "content") -> DataFrame:
@@ -85,7 +85,7 @@ def segments(files: DataFrame, content: str = "content") -> DataFrame:
                 data = bytes(data)
                 if len(data) < 8:
                     continue
-                if data[:4] != b"MCSG" or struct.unpack_from("<I", data, 4)[0] != 1:
+                if data[:4] != b"MCSG" or struct.unpack_from("<H", data, 4)[0] != 1:
                     raise ValueError(f"segment {seg}: bad magic or version")
                 at = 8
                 while at + 36 <= len(data):
@@ -100,7 +100,7 @@ def segments(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def encode_segment(bodies: list[bytes]) -> bytes:
-    return b"MCSG" + struct.pack("<I", 1) + b"".join(struct.pack("<I", len(b)) + hashlib.sha256(b).digest() + b for b in bodies)
+    return b"MCSG" + struct.pack("<HH", 1, 0) + b"".join(struct.pack("<I", len(b)) + hashlib.sha256(b).digest() + b for b in bodies)
 
 
 def tensors(files: DataFrame, key: str, payload: str = "payload") -> DataFrame:

@@ -73,6 +73,13 @@ def test_segments_and_manifests(spark):
     assert rows[0].digest == hashlib.sha256(b"abc").hexdigest()
 
 
+def test_manifest_round_trip(spark):
+    refs = [(hashlib.sha256(b"a").digest(), 4, 2, 16, 64), (hashlib.sha256(b"b").digest(), 1, 1, 5_000_000_000, 0)]
+    files = [("m", wire.encode_manifest(99, refs)), ("none", wire.encode_manifest(0, [])), ("cut", wire.encode_manifest(9, refs)[:-1])]
+    rows = wire.manifests(spark.createDataFrame(files, "blob string, content binary"), "blob").orderBy("chunk_no").collect()
+    assert [(r.blob, r.chunk_no, bytes.fromhex(r.digest), r.per_head_len, r.n_heads, r.first_off, r.head_stride, r.payload_len) for r in rows] == [("m", i, *x, 99) for i, x in enumerate(refs)]
+
+
 def test_content_defined_chunks():
     data = np.random.default_rng(1).integers(0, 256, 60_000, np.uint8).tobytes()
     gear = chunks.gear_table()
