@@ -79,6 +79,20 @@ def matches(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return j.withColumns({"entry": F.col("w.name"), "matched_tokens": F.coalesce(-F.col("w.m"), F.lit(0)).cast("long"), "on_path": ~F.col("w.off")}).drop("w")
 
 
+def touched(requests: DataFrame, entries: DataFrame, seq: str) -> DataFrame:
+    """name, last_seq: the last request (by ``seq``) that passes each entry on its path, or is served it end-anchored.
+
+    This is the recency of an index that touches whole paths; ``matches`` alone gives the winners.
+    """
+    e = entries.where(F.size("tokens") >= 2).withColumn("_k", F.size("tokens")).withColumn("_h", whole_hash("tokens"))
+    e = e.select("name", *DOMAIN, "_k", "_h", F.col("tokens").alias("_e"), (F.col("granularity") == 1).alias("_w"))
+    r = requests.select("request_id", *DOMAIN, F.size("tokens").alias("_n"), prefix_hashes("tokens").alias("_p"))
+    passed = _at_lengths(r, "_p", lengths_of(entries.where(F.size("tokens") >= 2)), 2).join(e, [*DOMAIN, "_k", "_h"]).where(~F.col("_w") | (F.col("_k") == F.col("_n")))
+    passed = passed.join(requests.select("request_id", F.col(seq).alias("_seq"), F.col("tokens").alias("_r")), "request_id").where(F.slice("_r", 1, F.col("_k")) == F.col("_e"))
+    served = matches(requests, entries).where("NOT on_path").select(F.col("entry").alias("name"), F.col(seq).alias("_seq"))
+    return passed.select("name", "_seq").unionByName(served).groupBy("name").agg(F.max("_seq").alias("last_seq"))
+
+
 def subtree(entries: DataFrame, key: list) -> DataFrame:
     """Entries at ``key`` or below it, and those of its length that differ in the last token only; all for an empty key."""
     if not key:

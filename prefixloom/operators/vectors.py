@@ -98,6 +98,56 @@ def scored(codes: DataFrame, query: list[float], bits: int) -> DataFrame:
     return codes.withColumn("score", F.pandas_udf(run, "double")("packed", "norm"))
 
 
+@functools.cache
+def sketch(d: int, seed: int = 13) -> np.ndarray:
+    """A seeded Gaussian matrix; signs of residuals hold for this one only."""
+    return np.random.default_rng(seed).standard_normal((d, d))
+
+
+def residual_signs(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of ``x``: signs of the sketched residual that the code leaves, packed to bits, and the residual's length."""
+    d = x.shape[1]
+    y = (x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]) @ rotation(d).T * np.sqrt(d)
+    levels = codebook(d, bits)
+    level = levels[np.searchsorted((levels[1:] + levels[:-1]) / 2, y)]
+    left = np.linalg.norm(level, axis=1, keepdims=True) / np.sqrt(d) * y - level
+    return np.packbits(left @ sketch(d).T >= 0, axis=1), np.linalg.norm(left, axis=1).astype(np.float32)
+
+
+def correction(query: np.ndarray, signs: np.ndarray, length: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """What the residuals add to the scores of codes with the compensated norms ``norm``, unbiased over sketches."""
+    d = len(query)
+    bits = np.unpackbits(signs, axis=1, count=d) * 2.0 - 1
+    return bits @ (sketch(d) @ (rotation(d) @ query)) * np.sqrt(np.pi / 2) / d * length * norm / np.sqrt(d)
+
+
+def with_residuals(vectors: DataFrame, column: str, d: int, bits: int) -> DataFrame:
+    """``vectors`` with signs (binary) and residual_norm of ``column``, which stays; null for a null vector."""
+
+    def run(x: pd.Series) -> pd.DataFrame:
+        ok = x.notna().to_numpy()
+        out = pd.DataFrame({"signs": [None] * len(x), "residual_norm": np.full(len(x), np.nan, np.float32)})
+        if ok.any():
+            signs, length = residual_signs(np.stack(x[ok].to_list()).astype(np.float64), bits)
+            out.loc[ok, "signs"] = pd.Series([s.tobytes() for s in signs], index=out.index[ok])
+            out.loc[ok, "residual_norm"] = length
+        return out
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.DataFrame}
+    return vectors.select("*", F.pandas_udf(run, "signs binary, residual_norm float")(column).alias("_r")).select(*vectors.columns, "_r.*")
+
+
+def corrected(scores: DataFrame, query: list[float]) -> DataFrame:
+    """``scores`` (score, norm, signs, residual_norm) with the correction added to score."""
+    q = np.array(query, np.float64)
+
+    def run(signs: pd.Series, length: pd.Series, norm: pd.Series) -> pd.Series:
+        return pd.Series(correction(q, np.stack([np.frombuffer(s, np.uint8) for s in signs]), length.to_numpy(), norm.to_numpy()))
+
+    run.__annotations__ = {"signs": pd.Series, "length": pd.Series, "norm": pd.Series, "return": pd.Series}
+    return scores.withColumn("score", F.col("score") + F.pandas_udf(run, "double")("signs", "residual_norm", "norm"))
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "vec_id").limit(k)
 

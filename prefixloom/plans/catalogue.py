@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import keys
+from ..functions import content, keys, tokens
 from ..operators import chunks as ch
-from ..operators import evict, lifecycle, policy, prefix, simulate, trace, vectors
+from ..operators import evict, forensics, lifecycle, policy, prefix, simulate, trace, vectors
 from . import inputs as i
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,14 @@ def declared_lcp(spark, d):
     return prefix.declared_lcp(i.requests(spark, d), "conv_id", "turn")
 
 
+@query(
+    f"WITH {i.ROUTED}, passed AS (SELECT e.name, r.request_id FROM requests r JOIN entries e ON r.engine = e.engine AND r.fp = e.fp AND e.k >= 2 AND len(r.tokens) >= e.k AND r.tokens[1:e.k] = e.tokens"
+    " AND (e.granularity = 0 OR e.k = len(r.tokens)) UNION ALL SELECT entry, request_id FROM routed WHERE NOT on_path) SELECT name, max(request_id) AS last_seq FROM passed GROUP BY name"
+)
+def touched_path(spark, d):
+    return prefix.touched(i.requests(spark, d), i.entries(spark, d), "request_id")
+
+
 _STATS = "count(*) AS requests, count(*) FILTER (WHERE verdict = 'hit') AS hits, count(*) FILTER (WHERE verdict = 'partial') AS partials, count(*) FILTER (WHERE verdict = 'miss') AS misses, sum(prefill_from)::BIGINT AS tokens_cached, sum(n_tokens)::BIGINT AS tokens_total, round(coalesce(sum(prefill_from) / nullif(sum(n_tokens), 0), 0), 4) AS hit_rate"
 
 
@@ -134,6 +142,23 @@ def blob_key(spark, d):
         return docs.select("doc_id", key.alias("blob_key"), keys.model_hash(key).alias("high"))
 
 
+_PART = "'{\"image_url\":{\"detail\":' || turn || ',\"url\":\"u' || conv_id || '\"},\"type\":\"image_url\"}'"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN sha256(length({_PART}) || ':' || {_PART}) ELSE '' END AS content_digest FROM conversations")
+def content_digest(spark, d):
+    text = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))
+    image = F.struct(F.lit("image_url").alias("type"), F.struct(F.concat(F.lit("u"), "conv_id").alias("url"), F.col("turn").alias("detail")).alias("image_url"))
+    parts = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("["), F.to_json(text), F.lit(","), F.to_json(image), F.lit("]"))).otherwise(F.concat(F.lit("["), F.to_json(text), F.lit("]")))
+    messages = F.concat(F.lit('[{"role":"user","content":'), parts, F.lit("}]"))
+    return i.table(spark, d, "conversations").select("conv_id", "turn", content.content_digest(messages).alias("content_digest"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(range(0, 8), lambda k: ('0x' || h[k * 8 + 7:k * 8 + 8] || h[k * 8 + 5:k * 8 + 6] || h[k * 8 + 3:k * 8 + 4] || h[k * 8 + 1:k * 8 + 2])::BIGINT % 2147483648), ',') AS tokens FROM (SELECT doc_id, sha256(text) AS h FROM documents)")
+def synthetic_tokens(spark, d):
+    return i.table(spark, d, "documents").select("doc_id", F.array_join(tokens.synthetic(F.col("text")), ",").alias("tokens"))
+
+
 @query("SELECT doc_id, sha256(text) AS digest, octet_length(encode(text))::BIGINT AS size_bytes FROM documents")
 def payload_digest(spark, d):
     return i.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"))
@@ -375,6 +400,35 @@ def reassemble(spark, d):
     return ch.reassembled(cut.drop("body"), cut.select("digest", "body")).select("blob", F.sha2("payload", 256).alias("digest"))
 
 
+@query(
+    "WITH h AS (SELECT doc_id, hex(text) AS x FROM documents), z AS (SELECT a.doc_id, least(length(a.x), length(b.x)) AS n, list_position(list_transform(list_zip(string_split(a.x, ''), string_split(b.x, '')), lambda p: p[1] IS DISTINCT FROM p[2]), true) AS spot FROM h a JOIN h b ON b.doc_id = a.doc_id + 1)"
+    " SELECT doc_id, CASE WHEN spot <= n THEN (spot - 1) // 2 END::BIGINT AS first_diff_byte FROM z"
+)
+def byte_divergence(spark, d):
+    t = i.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("a"))
+    after = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return t.join(after, "doc_id").select("doc_id", forensics.first_diff("a", "b").alias("first_diff_byte"))
+
+
+@query()
+def heads_exact(spark, d):
+    """Turn against next turn, as two heads of a tensor; one byte a position."""
+    p = i.payloads(spark, d)
+    a = p.select("convo", "turn", F.col("blob").alias("pair"), F.lit("kv").alias("tensor"), F.col("payload").alias("a"), F.lit(2).alias("n_heads"))
+    pairs = a.join(p.select("convo", (F.col("turn") - 1).alias("turn"), F.col("payload").alias("b")), ["convo", "turn"])
+    return forensics.heads_exact(forensics.heads_compared(pairs, F.floor(F.length("a") / 2)))
+
+
+@query()
+def segment_rolling(spark, d):
+    return forensics.rolled(ch.content_defined(i.payloads(spark, d), 1024), 8192)
+
+
+@query(f"WITH {i.CHUNKS} SELECT blob, chunk_no, least(coalesce(sum(size) OVER (PARTITION BY blob ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 4 // sum(size) OVER (PARTITION BY blob), 3)::BIGINT AS worker FROM chunks")
+def worker_groups(spark, d):
+    return forensics.worker_groups(blocks(spark, d), 4, "blob", "chunk_no").select("blob", F.col("chunk_no").cast("long").alias("chunk_no"), "worker")
+
+
 # Traces
 
 _EVENTS = "events"
@@ -472,6 +526,15 @@ def score_topk(spark, d):
     return vectors.top_k(vectors.scored(vectors.encoded(e, "embedding", 64, 4).select("vec_id", "packed", "norm"), q, 4), 20).select("vec_id", F.round("score", 4).alias("score"))
 
 
+@query()
+def score_corrected(spark, d):
+    """Scores against vector 0 with the residuals' correction."""
+    e = i.table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").first()["embedding"]
+    codes = vectors.encoded(vectors.with_residuals(e, "embedding", 64, 3).select("vec_id", "embedding", "signs", "residual_norm"), "embedding", 64, 3)
+    return vectors.corrected(vectors.scored(codes, q, 3), q).select("vec_id", F.round("score", 4).alias("score"))
+
+
 # Events
 
 
@@ -528,3 +591,21 @@ def customers_with_orders(spark, d):
 def top_orders(spark, d):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return i.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).cast("long").alias("rk")).where("rk <= 2")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus)::BIGINT AS all_status, grouping(o_orderpriority)::BIGINT AS all_priority, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def orders_cube(spark, d):
+    g = lambda c: F.grouping(c).cast("long")
+    return i.table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(g("o_orderstatus").alias("all_status"), g("o_orderpriority").alias("all_priority"), F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"))
+
+
+@query("SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer")
+def nations_both(spark, d):
+    return i.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")).intersect(i.table(spark, d, "customer").select("c_nationkey"))
+
+
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS last_three, o_orderkey - lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS gap FROM orders")
+def running_spend(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    gap = F.col("o_orderkey") - F.lag("o_orderkey").over(w)
+    return i.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("last_three"), gap.alias("gap"))

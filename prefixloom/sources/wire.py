@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_HEADER = 1 << 20
 FINGERPRINT = "model_id string, tokenizer_hash string, kv_dtype string, kv_layout_version bigint, kv_bits int, kv_group_size bigint, cache_layout string, content_digest string, kv_tier string"
@@ -103,6 +105,59 @@ def encode_segment(bodies: list[bytes]) -> bytes:
     return b"MCSG" + struct.pack("<HH", 1, 0) + b"".join(struct.pack("<I", len(b)) + hashlib.sha256(b).digest() + b for b in bodies)
 
 
+# Bytes of an element by tensor dtype.
+DTYPE_BYTES = {"BOOL": 1, "U8": 1, "I8": 1, "U16": 2, "I16": 2, "F16": 2, "BF16": 2, "U32": 4, "I32": 4, "F32": 4, "U64": 8, "I64": 8}
+
+
+def _whole(values: object) -> bool:
+    return isinstance(values, list) and all(type(v) is int for v in values)
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def tensor_fault(payload: bytes | None) -> str | None:
+    """Why a tensor payload is rejected: `length`, `json`, `metadata`, `tensor`, `dtype`, `shape`, `offsets`, `overlap`; None if it is sound."""
+    payload = payload or b""
+    n = int.from_bytes(payload[:8], "little")
+    if len(payload) < 8 or n == 0 or n + 8 > len(payload):
+        return "length"
+    try:
+        header = json.loads(payload[8 : 8 + n].decode("utf-8"), parse_constant=_no_constant)
+        json.dumps(header, ensure_ascii=False).encode("utf-8")  # fails on a lone surrogate, at any depth
+    except (ValueError, RecursionError):
+        return "json"
+    if not isinstance(header, dict):
+        return "json"
+    meta = header.pop("__metadata__", {})
+    if not isinstance(meta, dict) or not all(isinstance(v, str) for v in meta.values()):
+        return "metadata"
+    end = 0
+    spans = []
+    for spec in header.values():
+        if not isinstance(spec, dict):
+            return "tensor"
+        dtype, shape, at = (spec.get(k) for k in ("dtype", "shape", "data_offsets"))
+        if not isinstance(dtype, str) or dtype not in DTYPE_BYTES:
+            return "dtype"
+        if not _whole(shape) or min(shape, default=0) < 0:
+            return "shape"
+        if not _whole(at) or len(at) != 2 or not 0 <= at[0] <= at[1] <= len(payload) - 8 - n or at[1] - at[0] != DTYPE_BYTES[dtype] * math.prod(shape):
+            return "offsets"
+        spans.append(at)
+    for start, stop in sorted(spans):
+        if start < end:
+            return "overlap"
+        end = stop
+    return None
+
+
+@F.pandas_udf(StringType())
+def tensor_faults(payloads: pd.Series) -> pd.Series:
+    return pd.Series([tensor_fault(None if p is None else bytes(p)) for p in payloads], dtype=object)
+
+
 def tensors(files: DataFrame, key: str, payload: str = "payload") -> DataFrame:
     """A row per tensor of a safetensors payload: tensor, dtype, shape, begin, end (absolute), n_heads."""
     c = F.col(payload)
