@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.tables import materialised
 
 
-def prefix_sums(df: DataFrame, value: str, order: list[Column], out: str, buckets: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, value: str, order: list[Column], out: str, buckets: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over all rows before, in ``order``; no task sees all rows.
 
     Rows are dealt into ranges of the order, as many as the session shuffles into unless ``buckets`` says
-    so; sums of ranges give each range's start.
+    so; sums of ranges give each range's start. With ``by`` (not null) sums start anew at each of its keys,
+    and a hot key lies across many ranges.
     """
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialised(df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id()))
-    starts = ranged.groupBy("_part").agg(F.sum(value).alias("_s"))
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(starts, "_part").withColumn(out, F.col("_start") + inside).drop("_part", "_start")
+    ranged = materialised(df.repartitionByRange(buckets, *by, *order).withColumn("_part", F.spark_partition_id()))
+    starts = ranged.groupBy("_part", *by).agg(F.sum(value).alias("_s"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(starts, ["_part", *by]).withColumn(out, F.col("_start") + inside).drop("_part", "_start")
 
 
 def candidates(entries: DataFrame, now: int, window: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prefix
+from .evict import prefix_sums
 
 
 def keep_latest(entries: DataFrame, *keys: str) -> DataFrame:
@@ -48,8 +49,8 @@ def quarantine_excess(entries: DataFrame, keep: int) -> DataFrame:
     """Quarantined entries over the cap, the coldest first."""
     q = entries.where("state = 'quarantined'")
     n = q.agg(F.count("*")).scalar()
-    cold = F.row_number().over(Window.orderBy("last_used", "name"))
-    return q.withColumn("rank", cold).where(F.col("rank") <= n - keep)
+    ranked = prefix_sums(q.withColumn("_one", F.lit(1)), "_one", [F.col("last_used"), F.col("name")], "rank").drop("_one")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int")).where(F.col("rank") <= n - keep)
 
 
 def invalidate(entries: DataFrame, key: list) -> tuple[DataFrame, DataFrame]:

@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evict import prefix_sums
+
 
 def _at(df: DataFrame, value: str, keys: list[str], index, names: dict[str, float]) -> DataFrame:
-    """By ``keys``: the value at ``index(n, p)`` of the sorted group for every name and p; by rank, no group is collected."""
-    w = Window.partitionBy(*keys)
-    r = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn("_i", F.row_number().over(w.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(w))
-    return r.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == index(F.col("_n"), p), F.col("_v"))).alias(a) for a, p in names.items()], F.max("_n").alias("n"))
+    """By ``keys``: the value at ``index(n, p)`` of the sorted group for every name and p; rows with a null key or value are left out.
+
+    Equal values are counted first, and ranks are prefix sums of the counts, so neither a hot group nor a
+    frequent value is sorted in one task.
+    """
+    known = df.dropna(subset=[*keys, value])
+    counts = known.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    r = prefix_sums(counts, "_c", [F.col("_v")], "_i", by=tuple(keys))
+    r = r.join(known.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    here = lambda p: (F.col("_i") <= index(F.col("_n"), p)) & (index(F.col("_n"), p) < F.col("_i") + F.col("_c"))
+    return r.groupBy(*keys).agg(*[F.max(F.when(here(p), F.col("_v"))).alias(a) for a, p in names.items()], F.max("_n").alias("n"))
 
 
 def pct_index(df: DataFrame, value: str, keys: list[str], names: dict[str, float]) -> DataFrame:

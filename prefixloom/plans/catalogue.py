@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content, keys, tokens
 from ..operators import chunks as ch
-from ..operators import evict, forensics, lifecycle, policy, prefix, simulate, trace, vectors
+from ..operators import evict, forensics, gates, lifecycle, policy, prefix, simulate, trace, vectors
 from . import inputs as i
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,6 +498,27 @@ def single_flight_groups(spark, d):
     return trace.single_flight(r, "k", "s", "e").groupBy("k", "flight").agg(F.count("*").alias("n"), F.min("s").alias("first_start"), F.max("e").alias("last_end"))
 
 
+@query(
+    "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), z AS (SELECT a.doc_id, greatest(len(a.w), len(b.w)) AS n, list_transform(list_zip(a.w, b.w), lambda p: coalesce(p[1] = p[2], false)) AS same FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)"
+    " SELECT doc_id, round(len(list_filter(same, lambda s: s)) / n, 6) AS agreement, (list_position(same, false) - 1)::BIGINT AS first_divergence FROM z"
+)
+def greedy_agreement(spark, d):
+    w = i.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("a"))
+    g = gates.agreement(w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id"), "a", "b")
+    return g.select("doc_id", F.round("agreement", 6).alias("agreement"), F.col("first_divergence").cast("long").alias("first_divergence"))
+
+
+@query(
+    "WITH s AS (SELECT CASE WHEN len(string_split(text, ' ')) < 2 THEN 'too_short' WHEN doc_id % 11 = 0 THEN 'identity_unavailable' WHEN len(string_split(text, ' ')) > 500 THEN 'token_cap'"
+    " WHEN doc_id % 7 = 0 THEN 'empty_payload' WHEN n_chars > 2000 THEN 'size_cap' ELSE 'settled' END AS reason FROM documents) SELECT reason, count(*) AS n FROM s GROUP BY reason"
+)
+def settle_refusals(spark, d):
+    docs = i.table(spark, d, "documents").select(
+        F.split("text", " ").alias("tokens"), F.when(F.col("doc_id") % 11 == 0, "missing").otherwise("tok").alias("tokenizer_hash"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.col("n_chars")).alias("payload_bytes")
+    )
+    return docs.groupBy(F.coalesce(gates.settle_refusal(500, 2000), F.lit("settled")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 # Vectors
 
 
