@@ -86,3 +86,11 @@ def test_sql_functions(spark):
     assert "px_content_digest" in names
     row = spark.sql("""SELECT px_canonical_json('{"b":1,"a":2.0}') AS c, px_first_diff(X'0102', X'0103') AS d, px_tensor_fault(X'00') AS t""").first()
     assert (row.c, row.d, row.t) == ('{"a":2.0,"b":1}', 1, "length") and json.loads(row.c)["a"] == 2
+
+
+def test_a_new_fingerprint_replaces_the_old_one_in_a_domain(spark):
+    entry = "name string, engine string, fp string, tokens array<long>, generation long"
+    old = spark.createDataFrame([("a", "e", "f1", [1, 2], 1), ("o", "other", "f1", [1, 2], 1)], entry)
+    new = spark.createDataFrame([("b", "e", "f2", [1, 2], 2)], entry)
+    assert sorted(r.name for r in lifecycle.publish(old, new, "engine", "tokens").collect()) == ["b", "o"]
+    assert sorted(r.name for r in lifecycle.publish(old, new, "engine", "fp", "tokens").collect()) == ["a", "b", "o"]
