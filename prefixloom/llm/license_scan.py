@@ -1,10 +1,13 @@
 """License scans by Dice coefficient over word bigrams (operator 7), DataFrame functions only.
 
-A text's lines and sentences are normalised (lower case, letters and digits only) and compared with
+A text's lines, sentences and word windows are normalised (lower case, letters and digits only) and compared with
 licence templates: Dice = 2 |A and B| / (|A| + |B|) over the sets of word bigrams. A template of b
 bigrams can only reach the threshold t with segments of t / (2 - t) * b to (2 - t) / t * b bigrams, so
 sizes prune templates before bigrams are intersected, and segments that no template's size admits are
-never hashed. Templates are a parameter of known size and stand in the plan; texts are not shuffled.
+never hashed. Windows take in notices that are wrapped or stand within a longer sentence: they run over
+the whole text, line breaks ignored, from a template's number of words up to the size bound, for
+templates that no line or sentence matches and of whose bigrams the text holds enough. A notice that
+lost words is held against windows of the template's size, so its neighbours count. Templates are a parameter of known size and stand in the plan; texts are not shuffled.
 
 Defined results: null and empty texts match nothing; a segment of under two words has no bigram; equal
 scores are all reported, the best is the first by name; repeated rows are scanned one by one; extra
@@ -72,19 +75,28 @@ def scanned(docs: DataFrame, text: str = "text", templates: dict[str, str] | Non
     # Characters bound words: a segment of k bigrams has at least 2 k + 1 characters.
     worded = F.transform(F.filter(segments, lambda s: F.length(s) >= 2 * least * min(sizes) + 1), normal)
     fit = F.filter(worded, lambda w: F.size(w) >= least * min(sizes) + 1)
-    rows = docs.select(*kept, fit.alias("_ls_w"))
     every = sorted({b for bs in own.values() for b in bs})
+    rows = docs.select(*kept, fit.alias("_ls_w"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")).alias("_ls_t"))
     # Repeated bigrams leave fewer than words - 1 of them, so the upper bound is held against the set.
     sets = F.filter(F.transform("_ls_w", pairs), lambda b: (F.size(b) >= least * min(sizes)) & (F.size(b) <= most * max(sizes)) & F.exists(b, lambda x: x.isin(every)))
-    rows = rows.select(*kept, sets.alias("_ls_b"))
+    held = F.filter(F.array(*[F.lit(x) for x in every]), lambda x: F.contains("_ls_t", F.concat(F.lit(" "), x, F.lit(" "))))
+    rows = rows.select(*kept, "_ls_t", sets.alias("_ls_b"), held.alias("_ls_e"))
+    rows = rows.select(*kept, "_ls_b", "_ls_e", F.when(F.size("_ls_e") >= least * min(sizes), F.split(F.trim("_ls_t"), " ")).alias("_ls_a"))
 
     def score(name: str) -> Column:
         b = own[name]
         near = F.filter("_ls_b", lambda s: (F.size(s) >= least * len(b)) & (F.size(s) <= most * len(b)))
         dice = F.transform(near, lambda s: 2.0 * F.size(F.array_intersect(s, F.array(*[F.lit(x) for x in b]))) / (F.size(s) + len(b)))
-        return F.struct(F.array_max(dice).alias("score"), F.lit(name).alias("name"))
-
-    hits = F.when(F.size("_ls_b") > 0, F.filter(F.array(*[score(n) for n in own]), lambda x: x["score"] >= threshold)).otherwise(F.array().cast("array<struct<score:double,name:string>>"))
+        whole, bigrams = F.array_max(dice), F.array(*[F.lit(x) for x in b])
+        n = len(plain_words(templates[name]))
+        lengths = F.array(*[F.lit(k) for k in range(n, max(n, int(most * len(b)) + 1) + 1)])
+        places = lambda k: F.sequence(F.lit(1), F.greatest(F.size("_ls_a") - k + 1, F.lit(1)))
+        part = lambda s: 2.0 * F.size(F.array_intersect(s, bigrams)) / (F.size(s) + len(b))
+        windows = F.array_max(F.transform(lengths, lambda k: F.array_max(F.transform(places(k), lambda i: part(pairs(F.slice("_ls_a", i, k)))))))
+        enough = F.size(F.array_intersect("_ls_e", bigrams)) >= least * len(b)
+        return F.struct(F.when(whole >= threshold, whole).when(enough, windows).alias("score"), F.lit(name).alias("name"))
+
+    hits = F.when((F.size("_ls_b") > 0) | F.col("_ls_a").isNotNull(), F.filter(F.array(*[score(n) for n in own]), lambda x: x["score"] >= threshold)).otherwise(F.array().cast("array<struct<score:double,name:string>>"))
     rows = rows.select(*kept, hits.alias("_ls_h"))
     top = F.aggregate("_ls_h", F.lit(None).cast("struct<score:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["score"] > a["score"]), x).otherwise(a))
     rows = rows.select(*kept, "_ls_h", top.alias("_ls_top"))

@@ -125,3 +125,25 @@ def test_licenses(spark):
         assert (out[i].best_score or 0) == pytest.approx(max(want.values(), default=0))
         hits += bool(want)
     assert hits > 30 and license_scan.scanned(docs.where("false")).count() == 0
+
+
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+def test_wrapped_and_embedded_licenses(spark):
+    texts = {
+        1: (GRANT, "MIT-grant"),
+        2: (" ".join(GRANT.split()), "MIT-grant"),
+        3: ("Intro line\n" + BSD + "\n1. Keep this.", "BSD-3-Clause"),
+        4: ("The tool that we wrote last year was released under the MIT\nLicense and is used by many people at several places today.", "MIT"),
+        5: ("All of the parts are licensed under the well known Apache License,\nVersion 2.0, as said elsewhere in this long and winding sentence of ours.", ""),
+        6: ("Released the people under a law of the land, with a License of the MIT.", ""),
+        7: ("All of the parts of it are, unless said otherwise, licensed under the new Apache\nLicense, Version 2.0, or so they say.", "Apache-2.0"),
+    }
+    out = license_scan.scanned(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in out} == {i: n for i, (_, n) in texts.items()}
+    assert {r.doc_id: r.best_score for r in out}[1] == 1.0
