@@ -9,7 +9,8 @@ their tokens bound nested slots, and the text in the slots is the page's own.
 
 A slot's role comes from the template tags around it: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are left out. If a page has ``article`` or ``main``
-elements, their slots are the main text, else the slot with most text outside links. A text block
+elements, their slots are the main text, else all blocks of the innermost layout container that holds
+``HELD`` of the text outside links which the template leaves open. A text block
 that is itself a template token is left out too, unless such blocks make up more than ``OWN_SHARE``
 of the main text (then the article itself is repeated over the host's pages).
 
@@ -40,6 +41,8 @@ from .common import others, written
 #: A template token stands on this share of a host's pages at least; hosts of fewer pages have no template.
 SUPPORT, MIN_PAGES = 0.9, 4
 OWN_SHARE = 0.2
+#: The main text's container holds this share of a page's unlinked text.
+HELD = 0.9
 BROADCAST_TOKENS = 2_000_000
 RESULTS = ("text", "n_chars")
 
@@ -57,6 +60,7 @@ NAMES = frozenset(
 )
 OUTSIDE = frozenset("header footer masthead topbar toolbar".split())
 MAIN = frozenset(("article", "main"))
+LAYOUT = frozenset("html body div center".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -154,28 +158,32 @@ def tokens(html: str | None) -> tuple[Counter, dict[int, float], list[Block]]:
     return Counter(h for _, h in keyed), where, blocks
 
 
+def _subtree(weight: Counter, tags: list[str]) -> str:
+    """The innermost layout container that holds nearly all the weight; parts of a text (sections, lists, cells, headings) are never entered."""
+    path, below = "", {}
+    for p in weight:
+        if p:
+            below.setdefault(p[: p.rindex("/", 0, -1) + 1] if "/" in p[:-1] else "", []).append(p)
+    while inner := [p for p in below.get(path, []) if weight[p] >= HELD * weight[""] and tags[int(p[:-1].rsplit("/", 1)[-1])].split(".")[0].rsplit("/", 1)[-1] in LAYOUT]:
+        path = max(inner, key=weight.get)
+    return path
+
+
 def main_text(html: str | None, template: np.ndarray | None = None) -> str:
     """The main text; ``template``: the host's template tokens in order."""
-    _, blocks = parsed(html)
+    tags, blocks = parsed(html)
     wanted = [b for b in blocks if not b.aside]
     own = [b for b in wanted if b.main]
     known = set() if template is None else set(template.tolist())
     if not own and wanted:
-        # Slots lie between template tags, or, without a template, in the containers themselves.
-        if known:
-            tags, _ = parsed(html)
-            slot, slots = 0, []
-            for t in tags:
-                slot += _hash("tag", t) in known
-                slots.append(slot)
-            of = lambda b: (b.path, slots[b.at - 1] if b.at else 0)
-        else:
-            of = lambda b: b.path
+        # The text that the template leaves open counts, or all of it if none is.
+        open_ = [b for b in wanted if _hash("text", b.text) not in known] or wanted
         weight: Counter = Counter()
-        for b in wanted:
-            weight[of(b)] += len(b.text) * (1 - min(1.0, b.linked))
-        best = max(weight, key=weight.get)
-        path = best[0] if known else best
+        for b in open_:
+            steps = b.path.split("/")[:-1]
+            for k in range(len(steps) + 1):
+                weight["".join(f"{x}/" for x in steps[:k])] += len(b.text) * (1 - min(1.0, b.linked))
+        path = _subtree(weight, tags)
         own = [b for b in wanted if b.linked < 0.5 and b.path.startswith(path)]
     if known:
         repeated = [b for b in own if _hash("text", b.text) in known]

@@ -147,3 +147,16 @@ def test_wrapped_and_embedded_licenses(spark):
     out = license_scan.scanned(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect()
     assert {r.doc_id: r.licenses for r in out} == {i: n for i, (_, n) in texts.items()}
     assert {r.doc_id: r.best_score for r in out}[1] == 1.0
+
+
+def test_several_containers_without_article():
+    short, long = "A short first part.", "A longer second part, with more words."
+    assert html_templates.main_text(f"<body><nav>m</nav><div><h1>T</h1><section><p>{short}</p></section><section><p>{long}</p></section></div></body>") == f"T {short} {long}"
+    assert html_templates.main_text("<body><div><h1>T</h1><ul><li>one item<li>the second item</ul><table><tr><td>c1<td>cell 2</table><blockquote>q</blockquote></div><div class=ad>no</div></body>") == "T one item the second item c1 cell 2 q"
+
+
+def test_sections_of_templated_pages(spark):
+    page = '<html><body><div class="top"><p>The same long text on top of every page of this host.</p></div><div><section><p>Own {i} first.</p></section><section><p>Own {i} second one.</p></section></div></body></html>'
+    rows = [(i, "http://h/", page.replace("{i}", str(i))) for i in range(8)]
+    out = html_templates.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {i: f"Own {i} first. Own {i} second one." for i in range(8)}
