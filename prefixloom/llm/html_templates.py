@@ -4,12 +4,12 @@ A page is a row of tokens: its tags by their path of containers, and its text bl
 of a host every token has an occurrence vector, how often it stands on each page; tokens with the
 same vector form an equivalence class. Vectors are compared by count of pages and the exclusive-or of
 a hash of (page, occurrences), so a host of any size is summed by many tasks and no task holds its
-pages. Classes that stand on nearly all pages of a host are its template; ordered by mean position,
-their tokens bound nested slots, and the text in the slots is the page's own.
+pages. Classes that stand on nearly all pages of a host are its template, a flat set of tokens; they are not
+nested into slots. Text that is no template token is the page's own.
 
-A slot's role comes from the template tags around it: menus, headers, footers, sidebars, notices,
+A block's role comes from the names of the tags around it: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments are left out. If a page has ``article`` or ``main``
-elements, their slots are the main text, else all blocks of the innermost layout container that holds
+elements, their blocks are the main text, else all blocks of the innermost layout container that holds
 ``HELD`` of the text outside links which the template leaves open. A text block
 that is itself a template token is left out too, unless such blocks make up more than ``OWN_SHARE``
 of the main text (then the article itself is repeated over the host's pages).
