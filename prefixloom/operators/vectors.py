@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
@@ -152,6 +152,33 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def top_k_each(codes: DataFrame, queries: DataFrame, d: int, bits: int, k: int, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """query_id, vec_id, score: the ``k`` best of ``codes`` (vec_id, packed, norm) for each of ``queries`` (query_id, embedding); null vectors are left out.
+
+    Blocks of codes meet blocks of queries, so a task holds one of each.
+    """
+    codes, queries = codes.where("packed IS NOT NULL"), queries.where("embedding IS NOT NULL")
+    n, m = -(-codes.count() // block) or 1, -(-queries.count() // query_block) or 1
+    numbers = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    left = codes.select("vec_id", "packed", "norm", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b"), numbers(m).alias("q"))
+    right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("q"), numbers(n).alias("b"))
+
+    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(q):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        y = codebook(d, bits)[unpack(np.stack(c["packed"].to_list()), bits, d)]
+        ids, norm, out = c["vec_id"].to_numpy(), c["norm"].to_numpy() / np.sqrt(d), []
+        for query, v in zip(q["query_id"], q["embedding"]):
+            score = y @ (rotation(d) @ np.asarray(v, np.float64)) * norm
+            best = np.lexsort((ids, -score))[:k]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": score[best]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(run, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def group_quantised(values: Column, bits: int, group: int) -> Column:
     """Struct of codes, scales and biases per group of ``group`` values (affine, from minimum to maximum), built in."""
     n = F.ceil(F.size(values) / group).cast("int")

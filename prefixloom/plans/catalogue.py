@@ -543,8 +543,8 @@ def codebook_encode(spark, d):
 @query()
 def score_topk(spark, d):
     e = i.table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").first()["embedding"]
-    return vectors.top_k(vectors.scored(vectors.encoded(e, "embedding", 64, 4).select("vec_id", "packed", "norm"), q, 4), 20).select("vec_id", F.round("score", 4).alias("score"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.top_k_each(vectors.encoded(e, "embedding", 64, 4).select("vec_id", "packed", "norm"), q, 64, 4, 20).select("query_id", "vec_id", F.round("score", 4).alias("score"))
 
 
 @query()
