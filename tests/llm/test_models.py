@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,43 @@ def test_quality_of_odd_rows(spark):
     assert quality_classifier.scored(docs.where("false"), quality_classifier.fit(docs, labels)).count() == 0
 
 
+def test_quality_learns_one_text_of_each_id_at_every_rerun(spark):
+    docs = [(i % 40, f"text {i} " + ("fine words here " if i % 2 else "BAD!! BAD!! ") * (i % 7 + 1)) for i in range(400)] * 2
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, quality int")
+    a, b = (spark.createDataFrame(d, "doc_id long, text string").repartition(n) for d, n in ((docs, 3), (docs[::-1], 7)))
+    first = quality_classifier.fit(a, labels, sample=30)
+    assert (first == quality_classifier.fit(b, labels, sample=30)).all() and first.any()
+
+
+def plain_ftrl(rows, buckets, alpha, beta, l1, l2, epochs):
+    """FTRL-Proximal by the published per-coordinate rule."""
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+    share = [sum(r[2] == y for r in rows) for y in (0, 1)]
+    rng = np.random.default_rng(3)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            idx, val, y = rows[k]
+            p = 1 / (1 + np.exp(-sum(weight(int(i)) * v for i, v in zip(idx, val))))
+            for i, v in zip(map(int, idx), val):
+                w, g = weight(i), min(4.0, (len(rows) / (2 * share[y])) ** 0.5) * (p - y) * v
+                s = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - s * w, n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_weights_and_scores_equal_plain_ones(spark):
+    texts = [("good words in a row", 1), ("other good words", 1), ("BAD!! BAD!! BAD!!", 0), ("a a a a a a", 0), ("plain words again", 1), (None, 0)]
+    rows = [(*quality_classifier.features(t), y) for t, y in texts]
+    q = quality_classifier
+    got, want = q.train(rows), plain_ftrl(rows, q.BUCKETS, q.ALPHA, q.BETA, q.L1, q.L2, q.EPOCHS)
+    assert {int(i) for i in np.flatnonzero(got)} == {i for i, w in want.items() if w} and all(got[i] == pytest.approx(w, rel=1e-4, abs=1e-6) for i, w in want.items())
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(9, "long " * 200_000)], "doc_id long, text string")
+    for r in q.scored(docs, got).collect():
+        idx, val = q.features(texts[r.doc_id][0] if r.doc_id < 9 else "long " * 200_000)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-sum(float(got[i]) * float(v) for i, v in zip(idx, val)))), rel=1e-5)
+
+
 PAGE = (
     '<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Menu {i}</a></li></ul></nav>'
     '<!-- x --><div class="ad">Buy {i}</div><article><h1>Head&amp;line {i}</h1><p><b>First</b>ly {i}\n  &eacute;&nbsp;x.<br><p>Second {j} &lt;tag&gt;.</p>{more}<p>Sign up for our letter.</p>'
