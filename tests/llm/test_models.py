@@ -39,6 +39,43 @@ def test_codewords_differ(n):
     assert code.shape[0] == n and len({tuple(r) for r in code}) == n
 
 
+def spelled(k, i):
+    """Words of an invented language: pairs of its own three letters."""
+    rng = random.Random(k * 1000 + i)
+    letters = [chr(97 + (k * p + 3 * j) % 26) for j, p in ((0, 1), (1, 5), (2, 7))] + [chr(0x430 + k % 32), chr(0x3B1 + k // 32)]
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(40))
+
+
+def test_every_label_is_learned(spark):
+    """90 labels, one of them rare, and one id repeated more often than all others."""
+    rows = [(k * 100 + i, spelled(k, i), f"l{k:02}") for k in range(90) for i in range(12 if k else 2)]
+    rows += [(7, spelled(1, 5), "l01")] * 3000 + [(8, "12", "l02")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language_id.fit(docs, sample=400)
+    assert model.langs == [f"l{k:02}" for k in range(90)]
+    fresh = spark.createDataFrame([(k, spelled(k, 50), f"l{k:02}") for k in range(90)], "doc_id long, text string, lang string")
+    out = language_id.predicted(fresh, model).collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 80
+    again = language_id.fit(docs.repartition(3), sample=400)
+    assert (again.w == model.w).all() and again.langs == model.langs
+
+
+def test_decoding_equals_a_plain_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs, sample=100)
+    for r in language_id.predicted(docs, model, drop_text=False).collect():
+        h = language_id.histogram(r.text)
+        if h is None:
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        margins = [language_id.SCALE * sum(float(a) * float(b) for a, b in zip(h, w)) + float(c) for w, c in zip(model.w.T, model.b)]
+        loss = {k: sum(float(q) * np.log1p(np.exp(-m * float(s))) for q, m, s in zip(model.reliability, margins, code)) / float(model.reliability.sum()) for k, code in zip(model.langs, model.code)}
+        order = sorted(loss, key=loss.get)
+        assert r.lang_pred == order[0] or loss[order[1]] - loss[order[0]] < 1e-4
+        p = {k: np.exp(-v * len(margins)) for k, v in loss.items()}
+        assert r.score == pytest.approx(p[r.lang_pred] / sum(p.values()), rel=1e-3)
+
+
 def test_quality_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     rest = language_id.remainder(F.col("doc_id"), 3)
