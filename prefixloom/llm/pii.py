@@ -10,14 +10,15 @@ chance. A logistic span classifier is trained on those chances and applied to ev
 linear expression.
 
 The base spans (email, ip, card, phone that pass their checks) always stay. The classifier adds spans
-that overlap none of them: ``secret``, ``masked_email``, ``local_phone``. A match that fails its own
+that overlap none of them: ``secret``, ``masked_email``, ``local_phone``; of added spans that overlap each
+other the one of the first-named kind stays. A match that fails its own
 kind's checks is evidence for the training and never a span.
 
 Offsets are code points, ends exclusive. A match's offset is a running sum over the matches of its
 text, so that a text with any number of matches costs linear work.
 
-Defined results: null and empty texts have no spans; repeated rows are searched one by one; an empty
-table gives an empty result and an untrained classifier adds nothing; extra columns pass through, but
+Defined results: null and empty texts have no spans; very long texts are searched whole; repeated rows are
+searched one by one; an empty table gives an empty result and an untrained classifier adds nothing; extra columns pass through, but
 for those named like RESULTS, which are replaced.
 """
 
@@ -196,12 +197,15 @@ def found(cands: DataFrame) -> DataFrame:
     running = Window.partitionBy("_pi_row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(running)).withColumn("start", F.col("end") - F.col("n"))
     c = c.withColumn("base", (F.col("kind") < len(BASE)) & (F.col("v.regex") == 1)).where((F.col("v.regex") == 1) & (F.col("base") | (z > 0)))
-    order = Window.partitionBy("_pi_row").orderBy("start", F.desc("base"), "kind")
-    ahead, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    clash = (F.max(F.when(F.col("base"), F.col("end"))).over(ahead) > F.col("start")) | (F.min(F.when(F.col("base"), F.col("start"))).over(behind) < F.col("end"))
-    c = c.withColumn("_clash", F.coalesce(clash, F.lit(False))).where(F.col("base") | ~F.col("_clash"))
-    # Of added spans that overlap each other the first stays.
-    c = c.withColumn("done", F.coalesce(F.max("end").over(ahead), F.lit(0))).where(F.col("base") | (F.col("done") <= F.col("start")))
+    # Base spans stay; an added span stays if it overlaps none that stays of an earlier kind. Spans of one kind never overlap.
+    order = Window.partitionBy("_pi_row").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("_pi_row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_stays", F.col("base"))
+    for kind in range(len(BASE), len(KINDS)):
+        before, after = F.max(F.when(F.col("_stays"), F.col("end"))).over(order), F.min(F.when(F.col("_stays"), F.col("start"))).over(back)
+        free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
+        c = c.withColumn("_stays", F.when(F.col("kind") == kind, free).otherwise(F.col("_stays")))
+    c = c.where("_stays").withColumn("done", F.coalesce(F.max("end").over(order), F.lit(0)))
     return c.select("_pi_row", F.col("kind").cast("int").alias("kind"), "start", "end", "base", "done")
 
 

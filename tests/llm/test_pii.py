@@ -81,3 +81,30 @@ def test_redaction_of_overlaps(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pii.searched(none).count() == pii.redacted(none).count() == 0
+
+
+def redact_plainly(text, spans):
+    """Spans (label, start, end) that overlap are one place, named by the first (of one start: the first kind); all other characters stay."""
+    out, done = [], 0
+    for label, a, b in sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0]))):
+        if a >= done:
+            out += [text[done:a], f"[{label.upper()}]"]
+        done = max(done, b)
+    return "".join(out) + text[done:]
+
+
+def test_redaction_takes_nothing_but_the_spans(spark):
+    rng = random.Random(9)
+    secret = lambda: "".join(rng.choices("abcdefghijkl0123456789", k=28)) + "a1b2"
+    parts = [lambda: "token: " + secret(), lambda: secret() + "[at]example.com", lambda: "key " + secret() + " [at] mail.example.org", lambda: "call 743-555-3824", lambda: "x@" + secret() + ".com", lambda: "word", lambda: "1.2.3.4"]
+    texts = ["token: abcdefghijklmnopqrstuvwx12345[at]example.com trailing words"]
+    texts += [rng.choice(["", " ", ", "]).join(rng.choice(parts)() for _ in range(rng.randint(1, 6))) for _ in range(300)] + ["token: " + secret() + " " for _ in range(100)]
+    texts += [(parts[1]() + " ") * 3000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {r.doc_id: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)] for r in pii.searched(docs).collect()}
+    out = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    for i, t in enumerate(texts):
+        assert out[i] == redact_plainly(t, spans[i])
+        added = [s for s in spans[i] if s[0] in pii.ADDED]
+        assert all(a[2] <= b[1] or b[2] <= a[1] for n, a in enumerate(added[:60]) for b in added[:n])
+    assert "trailing words" in out[0] and sum(k in pii.ADDED for own in spans.values() for k, *_ in own) > 100
