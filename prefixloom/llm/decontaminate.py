@@ -14,11 +14,12 @@ the rarest by count over the whole corpus. Steps:
 5. verified windows are gathered by document: words under any of them, items that own them.
 
 Up to ``LITERAL_SHINGLES`` shingles the test in step 1 is a hash set in the plan (its size is counted
-first); beyond, every place is exploded and joined with the shingle table by a shuffle.
+first); beyond, every place is exploded and joined with the shingle table by a shuffle. Windows are
+broadcast up to ``BROADCAST_BYTES``, measured, else joined by shuffle too.
 
 Defined results: a null text, a null item and texts without words match nothing; an item of fewer
-words than a shingle is compared by shingles of its own length; repeated documents are judged row by
-row, repeated items all report; an item without an id counts as hit words only; extra columns pass
+words than a shingle is compared by shingles of its own length; very long texts are read whole, at a cost
+linear in their words; repeated documents are judged row by row, repeated items all report; an item without an id counts as hit words only; extra columns pass
 through ``contamination``, but for those named like RESULTS, which are replaced; an empty table of documents gives an empty result, an empty benchmark no hits.
 """
 
@@ -32,6 +33,7 @@ from .common import ascii_lower, others, written
 WINDOW = 10
 SHINGLE = 3
 LITERAL_SHINGLES = 20_000
+BROADCAST_BYTES = 16 << 20
 RESULTS = ("n_words", "n_hit", "n_items", "items", "contaminated")
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -98,7 +100,7 @@ def places(docs: DataFrame, text: str, table: DataFrame, lengths: list[int], lit
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, literal_shingles: int = LITERAL_SHINGLES
+    docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, literal_shingles: int = LITERAL_SHINGLES, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``docs`` without ``text``, with n_words, n_hit, n_items, items (sorted array of strings) and contaminated."""
     own = written(windows(items, item_text, item_id, window))
@@ -113,9 +115,11 @@ def contamination(
     # The rarest shingle of each window; none of a window's shingles may be missing from the corpus.
     ranked = shingles.join(counts, ["k", "sh"], "left").groupBy("k", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "sh")).alias("p"))
     owners = own.groupBy("w").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    prefix = ranked.where("p.n > 0").join(owners, "w").select("k", "p.sh", "p.off", "w", "ids")
-    if bounded:
-        prefix = F.broadcast(prefix)  # at most a row per shingle of the list counted above
+    prefix = written(ranked.where("p.n > 0").join(owners, "w").select("k", "p.sh", "p.off", "w", "ids"))
+    # A row per window, with its words and owners: few shingles can make many windows, so their bytes are summed.
+    row = F.lit(64) + F.size("w") * 24 + F.octet_length(F.array_join("w", "")) + F.size("ids") * 24 + F.octet_length(F.array_join("ids", ""))
+    if prefix.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0] <= broadcast_bytes:
+        prefix = F.broadcast(prefix)
     start = F.col("pos") - F.col("off")
     near = at.join(prefix, ["k", "sh"]).where((start >= 0) & (start + F.size("w") <= F.col("n_words")))
     same = near.where(F.slice("near", start - F.col("from") + 1, F.size("w")) == F.col("w"))

@@ -112,8 +112,8 @@ def brute_contamination(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("literal", [20_000, 0])
-def test_contamination(spark, literal):
+@pytest.mark.parametrize(("literal", "broadcast"), [(20_000, 1 << 24), (20_000, 0), (0, 1 << 24), (0, 0)])
+def test_contamination(spark, literal, broadcast):
     rng = random.Random(5)
     v = "alpha Beta gamma é1 delta, eps zeta42 eta".split()
     long = [" ".join(rng.choices(v, k=25)) for _ in range(6)]
@@ -121,12 +121,22 @@ def test_contamination(spark, literal):
     texts = [None, "", "single", "x one TWO y", "two one", *long, long[2] + " " + long[3], "pre " + " ".join(long[4].split()[3:15]) + " post", "q r s t", " ".join(rng.choices(v, k=3000))]
     texts += [" ".join(rng.choices(v, k=8)) + " " + " ".join(rng.choice(long).split()[rng.randint(0, 9) :]) for _ in range(20)]
     docs = spark.createDataFrame([(i // 2, t, None) for i, t in enumerate(texts)], "doc_id long, text string, n_hit string")
-    out = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), literal_shingles=literal).collect()
+    out = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), literal_shingles=literal, broadcast_bytes=broadcast).collect()
     want = [(i // 2, *brute_contamination(t, items)) for i, t in enumerate(texts)]
     assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out) == sorted(want)
     assert all(r.n_items == len(r["items"]) and r.contaminated == (r.n_hit > 0) for r in out)
 
 
+def test_few_words_make_many_windows(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choices("a b c".split(), k=60))) for i in range(12)]
+    texts = [" ".join(rng.choices("a b c".split(), k=40)) + " " + rng.choice(items)[1][:30] for _ in range(15)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (1 << 24, 1000):
+        out = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=size).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in out) == sorted((i, *brute_contamination(t, items)) for i, t in enumerate(texts))
+
+
 def test_empty_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     (row,) = decontaminate.contamination(docs, spark.createDataFrame([], "item_id long, text string")).collect()
