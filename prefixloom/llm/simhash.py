@@ -11,13 +11,16 @@ many shards are built and searched at once as arrays. A tree edge within the rad
 subtrees that such edges already join to the searching node are left out, so a dense group of near
 copies costs no quadratic work.
 
-The trees are not broadcast: together they hold every fingerprint, which has no proven bound. A shard
-of more than ``SHARD`` fingerprints is cut into several trees, and its fingerprints are sent to each
-of them instead.
+The trees are not broadcast: together they hold every fingerprint, which has no proven bound. They go
+to tasks by shuffle. A shard of more than ``SHARD`` fingerprints is dealt again by bands of the bits that it
+doesn't share (of these, too, one band at least is equal within the radius), up to ``LEVELS`` times: four
+rows for one, however large the shard is, and links come out the same. At 10 ** 10 fingerprints the
+first bands hold some 150,000 each and the second some 40.
 
 Defined results: null, empty and blank texts have fingerprint 0 and are linked like others; a null
-doc_id is skipped as a component's id (a component of null ids alone has a null id); repeated rows
-each give a row; an empty table gives an empty result.
+doc_id is skipped as a component's id (a component of null ids alone has a null id); very long texts are
+read whole, in pieces; repeated rows each give a row; an empty table gives an empty result; other columns
+than ``carry`` are dropped, and ``carry`` must not name a column of the result (an error).
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 SHARD = 20_000
+#: Times that fingerprints are dealt by bands: 16 bits, then 12 of the other 48, then 9 of the other 36.
+LEVELS = 3
 #: Pairs of a search held at once.
 FRONTIER = 1 << 20
 _PIECE = 1 << 15
@@ -109,7 +114,7 @@ class Forest:
         self.links = fp[linked], fp[parent[linked]]
 
     def search(self, fp: np.ndarray, root: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links of ``fp``, each from its ``root``, to nodes outside ``comp`` (-1: to all), one for each component found."""
+        """Links of ``fp``, each from its ``root``, to nodes outside ``comp``, one for each component found."""
         found_q, found_n = [], []
         stack = [(np.arange(len(fp)), root)]
         while stack:
@@ -129,72 +134,80 @@ class Forest:
             count = np.searchsorted(self.keys, node * 65 + np.minimum(d + self.radius, 64), "right") - lo
             q = np.repeat(q, count)
             node = self.children[np.arange(len(q)) + np.repeat(lo - (np.cumsum(count) - count), count)]
-            go = (self.one[node] != comp[q]) | (self.one[node] < 0)
+            go = self.one[node] != comp[q]
             stack.append((q[go], node[go]))
         if not found_q:
             return fp[:0], fp[:0]
         q, node = np.concatenate(found_q), np.concatenate(found_n)
-        own = np.where(comp[q] >= 0, comp[q], -1 - q)
-        _, keep = np.unique(np.stack([own, self.comp[node]], 1), axis=0, return_index=True)
+        _, keep = np.unique(np.stack([comp[q], self.comp[node]], 1), axis=0, return_index=True)
         return fp[q[keep]], self.fp[node[keep]]
 
 
-def _searched(rows: pd.DataFrame, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in whole shards: rows (shard, tree, fp, role), sorted by shard and tree; role 1 only searches."""
-    tree = pd.factorize(pd.MultiIndex.from_arrays([rows["shard"], rows["tree"]]))[0] if len(rows) else np.zeros(0, np.int64)
-    fp, role = rows["fp"].to_numpy().view(np.uint64), rows["role"].to_numpy()
-    at = np.flatnonzero(role != 1)
-    forest = Forest(tree[at], fp[at], radius)
-    a, b = forest.search(forest.fp, forest.root_of, forest.comp)
-    out = [forest.links, (a, b)]
-    if (guests := np.flatnonzero(role == 1)).size:
-        root = forest.roots[np.searchsorted(tree[at][forest.roots], tree[guests])]
-        out.append(forest.search(fp[guests], root, np.full(len(guests), -1)))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def _searched(shard: np.ndarray, fp: np.ndarray, radius: int) -> pd.DataFrame:
+    """Links in whole shards, sorted by shard."""
+    forest = Forest(shard, fp, radius)
+    parts = forest.links, forest.search(forest.fp, forest.root_of, forest.comp)
+    u, v = (np.concatenate(x).view(np.int64) for x in zip(*parts))
+    return pd.DataFrame({"u": u, "v": v})
 
 
 def _search_sorted(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Holds a batch and one tree: an unfinished tree's nodes are kept for the next batch, where they search again."""
-    kept = None
+    """Rows (shard, fp), sorted by shard; holds a batch and one shard: what there is of the last shard waits for the next batch."""
+    shards, fps = [], []
     for batch in batches:
-        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-        if not len(rows):
+        shard, fp = batch["shard"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
+        if not len(shard):
             continue
-        last = rows.iloc[-1]
-        open_ = (rows["shard"] == last["shard"]) & (rows["tree"] == last["tree"])
-        nodes = open_ & (rows["role"] != 1)
-        guests = bool((open_ & (rows["role"] == 1)).any())
-        ready = rows if guests else rows[~open_]  # guests come last, so the tree is whole once there is one
-        kept = rows[nodes]
-        if len(ready):
-            a, b = _searched(ready, radius)
-            yield pd.DataFrame({"u": a.view(np.int64), "v": b.view(np.int64)})
-    if kept is not None and len(kept):
-        a, b = _searched(kept, radius)
-        yield pd.DataFrame({"u": a.view(np.int64), "v": b.view(np.int64)})
+        last = np.searchsorted(shard, shard[-1])
+        if last or shards and shards[-1][-1] != shard[0]:
+            yield _searched(np.concatenate([*shards, shard[:last]]), np.concatenate([*fps, fp[:last]]), radius)
+            shards, fps = [], []
+        shards.append(shard[last:])
+        fps.append(fp[last:])
+    if shards:
+        yield _searched(np.concatenate(shards), np.concatenate(fps), radius)
+
+
+def _dealt(rows: DataFrame, width: int, bands: int) -> DataFrame:
+    """Rows (fp, shard, rest) by band of the ``width`` low bits of ``rest``: the shard takes in the band's value, the rest loses it."""
+    each = width // bands
+
+    def one(i: int) -> Column:
+        low, size = i * each, each if i < bands - 1 else width - each * (bands - 1)
+        value = F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << size) - 1))
+        below = F.col("rest").bitwiseAND(F.lit((1 << low) - 1))
+        above = F.shiftleft(F.shiftrightunsigned("rest", low + size), low) if low + size < 64 else F.lit(0).cast("long")
+        # Different shards that hash alike would only share a tree.
+        return F.struct(F.xxhash64("shard", F.lit(i), value).alias("shard"), below.bitwiseOR(above).alias("rest"))
+
+    return rows.select("fp", F.explode(F.array(*[one(i) for i in range(bands)])).alias("to")).select("fp", "to.shard", "to.rest")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (u, v) of the different fingerprints ``fp``, enough to join all that are within ``radius`` bits."""
-    bands = radius + 1
-    width = 64 // bands
-    band = [F.lit(i << 48).bitwiseOR(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < bands - 1 else 64 - width * i)) - 1))) for i in range(bands)]
-    rows = prints.select("fp", F.explode(F.array(*band)).alias("shard"))
-    large = rows.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > shard)
-    large = large.select("shard", F.ceil(F.col("_n") / shard).cast("long").alias("_trees"))
-    rows = rows.join(large, "shard", "left").withColumn("_own", F.when(F.col("_trees").isNotNull(), F.pmod(F.xxhash64("fp"), "_trees")))
-    role = lambda k: F.lit(k).alias("role")
-    one = F.array(F.struct(F.lit(0).cast("long").alias("tree"), role(2)))
-    own = F.array(F.struct(F.col("_own").alias("tree"), role(0)))
-    # A pair of a cut shard is found by the one of the lower tree, which visits the higher ones, or inside its tree.
-    guest = F.when(F.col("_trees") > F.col("_own"), F.transform(F.sequence(F.col("_own"), F.col("_trees") - 1), lambda t: F.struct(t.alias("tree"), role(1))))
-    rows = rows.select("fp", "shard", F.explode(F.when(F.col("_trees").isNull(), one).otherwise(F.concat(own, guest))).alias("_to")).select("shard", "_to.tree", "_to.role", "fp")
-    dealt = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "role")
-    return dealt.mapInPandas(lambda batches: _search_sorted(batches, radius), "u long, v long")
+    bands, width = radius + 1, 64
+    rows, ready = prints.select("fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest")), None
+    for level in range(LEVELS):
+        rows = _dealt(rows, width, bands)
+        width -= width // bands
+        if level == LEVELS - 1 or width // bands < 2:
+            break
+        large = written(rows.groupBy("shard").agg(F.count("*").alias("_n")).where(F.col("_n") > shard).select(F.col("shard").alias("_large")))
+        if large.isEmpty():
+            break
+        # Whole shards stay; what a large one holds is dealt once more, by the bits that are left.
+        small = rows.join(large, F.col("shard") == F.col("_large"), "left_anti").select("shard", "fp")
+        ready = small if ready is None else ready.unionByName(small)
+        rows = rows.join(large, F.col("shard") == F.col("_large"), "left_semi")
+    rows = rows.select("shard", "fp")
+    rows = rows if ready is None else ready.unionByName(rows)
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(lambda batches: _search_sorted(batches, radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (), radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """doc_id, fp (long), component_id and root (the component's least fingerprint) of every row of ``docs``, and the columns ``carry``."""
+    if clash := {c.lower() for c in carry} & {"doc_id", "fp", "component_id", "root"}:
+        raise ValueError(f"carry names columns of the result: {sorted(clash)}")
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), *carry, fingerprints(F.col(text)).alias("fp")))
     by_print = written(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
     roots = components(links(by_print.select("fp"), radius, shard))

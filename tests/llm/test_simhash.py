@@ -70,9 +70,10 @@ def test_long_text_in_pieces(monkeypatch):
     assert simhash.fingerprint(text) == whole == brute_print(text)
 
 
-@pytest.mark.parametrize("shard", [20_000, 7])
-def test_dense_and_cut_shards(spark, shard):
-    """Groups of prints a few bits apart, far more in a shard than its trees may hold."""
+@pytest.mark.parametrize(("shard", "levels"), [(20_000, 3), (100, 3), (7, 3), (7, 2)])
+def test_dense_and_cut_shards(spark, shard, levels, monkeypatch):
+    """Groups of prints a few bits apart, far more in a shard than one may hold."""
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     rng = random.Random(2)
     fps = set()
     for _ in range(4):
@@ -103,10 +104,10 @@ def test_forest_batches_of_one(spark):
     for shard in range(5):
         centre = rng.getrandbits(62)
         nodes = {centre ^ (1 << rng.randrange(60)) ^ (1 << rng.randrange(60)) for _ in range(12)}
-        rows += [(shard, 0, fp, 2) for fp in sorted(nodes)]
-    frame = pd.DataFrame(rows, columns=["shard", "tree", "fp", "role"])
+        rows += [(shard, fp) for fp in sorted(nodes)]
+    frame = pd.DataFrame(rows, columns=["shard", "fp"])
     edges = {tuple(sorted(e)) for part in simhash._search_sorted((frame.iloc[[i]] for i in range(len(frame))), 3) for e in part.itertuples(index=False)}
-    ids = [(i, r[2]) for i, r in enumerate(rows)]
+    ids = [(i, r[1]) for i, r in enumerate(rows)]
     of = brute_components(ids)
     root = {fp: fp for _, fp in ids}
 
@@ -119,3 +120,27 @@ def test_forest_batches_of_one(spark):
         assert (int(a) ^ int(b)).bit_count() <= 3
         root[find(a)] = find(b)
     assert len({find(fp) for _, fp in ids}) == len(set(of.values()))
+
+
+def test_hot_shard_of_far_prints(spark):
+    """Half of the prints agree on 16 bits, as in a shard of a very large table."""
+    rng = random.Random(4)
+    fps = {rng.getrandbits(48) << 16 | 0xBEEF for _ in range(1500)} | {rng.getrandbits(64) for _ in range(1000)}
+    fps |= {fp ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for fp in rng.sample(sorted(fps), 400)}
+    signed = np.array(sorted(fps), np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {tuple(sorted((r.u & (1 << 64) - 1, r.v & (1 << 64) - 1))) for r in simhash.links(frame, shard=50).collect()}
+    fps = np.array(sorted(fps), np.uint64)
+    want = set()
+    for i in range(len(fps) - 1):
+        for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1:
+            want.add((int(fps[i]), int(fps[j])))
+    assert got == want or got < want and len({x for e in got for x in e}) == len({x for e in want for x in e})
+    assert len(got) >= 390
+
+
+def test_carried_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7)], "doc_id long, text string, n int")
+    assert simhash.near_duplicates(docs, carry=("n",)).first().n == 7
+    with pytest.raises(ValueError, match="carry"):
+        simhash.near_duplicates(docs.withColumnRenamed("n", "Root"), carry=("Root",))
