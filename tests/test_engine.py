@@ -56,6 +56,66 @@ def test_matches(spark, entries, request_, entry, matched, verdict):
     assert row.prefill_from == max(0, matched - 1)
 
 
+def brute_match(request, entries):
+    """entries: (name, engine, fp, tokens, granularity, last_used)."""
+    best = None
+    for name, engine, fp, t, whole, used in entries:
+        k, q = len(t), request[3]
+        if (engine, fp) != request[1:3] or k < 2 or len(q) < k or q[: k - 1] != t[:-1]:
+            continue
+        on = q[k - 1] == t[-1]
+        if whole and not (on and k == len(q)):
+            continue
+        rank = (-k, not on, -used, t[-1], name)
+        best = min(best or rank, rank)
+    return (None, 0, None) if best is None else (best[4], -best[0], not best[1])
+
+
+def brute_lcp(requests):
+    out = {}
+    for seq, t in requests:
+        out[seq] = max((next((i for i, (a, b) in enumerate(zip(t, u)) if a != b), min(len(t), len(u))) for s, u in requests if s < seq), default=0)
+    return out
+
+
+def test_matches_anchors_and_common_prefixes_over_blocks(spark):
+    """Prompts of many blocks that part at all kinds of places, block edges included."""
+    rng = np.random.default_rng(7)
+    trunk = rng.integers(0, 9, 400).tolist()
+    made = []
+    for _ in range(160):
+        k = int(rng.choice([1, 2, 3, 63, 64, 65, 66, 127, 128, 129, 130, 192, 300, int(rng.integers(1, 400))]))
+        t = trunk[:k]
+        kind = int(rng.integers(0, 4))
+        t = t if kind == 0 else [*t[:-1], 77] if kind == 1 else [*t, *rng.integers(0, 9, int(rng.integers(0, 70))).tolist()] if kind == 2 else [5, *t[1:]]
+        made.append(t)
+    entries = [(f"n{i:03}", f"e{i % 2}", "f", t, int(i % 11 == 0), i // 3) for i, t in enumerate(made[:90])]
+    requests = [(i, f"e{i % 2}", "f", t) for i, t in enumerate(made[60:])] + [(500, "e0", "missing", trunk), (501, "e0", "f", [])]
+    e = spark.createDataFrame(entries, "name string, engine string, fp string, tokens array<long>, granularity int, last_used long")
+    r = spark.createDataFrame(requests, "request_id long, engine string, fp string, tokens array<long>")
+    got = {x.request_id: (x.entry, x.matched_tokens, x.on_path) for x in prefix.matches(r, e).collect()}
+    assert got == {q[0]: brute_match(q, entries) for q in requests} and sum(v[1] > 64 for v in got.values()) > 20
+    anchors = {x.name for x in prefix.with_anchor(e).collect() if x.is_anchor}
+    assert anchors == {a[0] for a in entries if any(len(b[3]) > len(a[3]) and b[3][: len(a[3])] == a[3] for b in entries)}
+    lcp = {x.request_id: x.declared_lcp for x in prefix.declared_lcp(r.withColumn("g", F.lit(1)), "g", "request_id").collect()}
+    assert lcp == brute_lcp([(q[0], q[3]) for q in requests])
+    assert {x.name for x in prefix.exact(e, r).collect()} == {a[0] for a in entries if any(a[3] == q[3] for q in requests)}
+
+
+def test_semantics_and_gate(spark):
+    schema = "name string, engine string, fp string, tokens array<long>, granularity int, last_used long, generation long"
+    e = spark.createDataFrame([("a", "e", "f", [1, 2, 3], 0, 9, 1), ("b", "e", "g", [1, 2, 3], 0, 1, 2), ("c", "e", "f", [1, 2], 0, 0, 1)], schema)
+    r = spark.createDataFrame([(1, "e", "f", [1, 2, 3, 4])], "request_id long, engine string, fp string, tokens array<long>")
+    name = lambda **how: prefix.matches(r, e, **how).first().entry
+    assert (name(), name(semantics="daemon"), name(fingerprint_gate=False), name(semantics="daemon", fingerprint_gate=False)) == ("a", "c", "a", "b")
+    with pytest.raises(ValueError):
+        prefix.matches(r, e, semantics="other")
+    out = prefix.arbitrated(r, e.where("name = 'c'"), e.where("name = 'a'")).first()
+    assert (out.source, out.entry, out.covered) == ("disk", "a", 2)
+    out = prefix.arbitrated(r, e.where("name = 'a'"), e.where("name = 'a'")).first()
+    assert (out.source, out.entry) == ("memory", "a")
+
+
 def test_blob_round_trip(spark):
     payload = b"payload" * 3
     head = {"fingerprint": FP | {"kv_layout_version": 1}, "token_count": 2, "tokens": [1, 4294967295], "format_version": 2, "payload_sha256": hashlib.sha256(payload).hexdigest().upper()}
