@@ -84,7 +84,7 @@ def refcounts(chunks: DataFrame) -> DataFrame:
 
 
 def share_store(chunks: DataFrame) -> DataFrame:
-    """One row: live and shared chunks, record bytes held once or by several blobs, logical bytes, dedup ratio."""
+    """One row: live and shared chunks, record bytes held once or by several blobs, logical bytes, dedup ratio (logical over live record bytes, headers included)."""
     r = refcounts(chunks)
     record = F.col("size") + RECORD_HEADER
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -92,7 +92,7 @@ def share_store(chunks: DataFrame) -> DataFrame:
         F.count("*").alias("chunks_live"), F.count_if(F.col("blobs") > 1).alias("chunks_shared"),
         total(F.when(F.col("blobs") == 1, record)).alias("unique_bytes"), total(F.when(F.col("blobs") > 1, record)).alias("shared_bytes"),
         total(F.col("refs") * F.col("size")).alias("logical_bytes"),
-        F.round(F.coalesce(F.sum(F.col("refs") * F.col("size")) / F.nullif(F.sum("size"), F.lit(0)), F.lit(0.0)), 4).alias("dedup_ratio"),
+        F.round(F.coalesce(F.sum(F.col("refs") * F.col("size")) / F.nullif(F.sum(record), F.lit(0)), F.lit(0.0)), 4).alias("dedup_ratio"),
     )
 
 

@@ -300,7 +300,7 @@ _RC = f"{i.CHUNKS}, rc AS (SELECT digest, count(*) AS refs, count(DISTINCT blob)
 
 
 @query(
-    f"WITH {_RC} SELECT count(*) AS chunks_live, count(*) FILTER (WHERE blobs > 1) AS chunks_shared, coalesce(sum(size + 36) FILTER (WHERE blobs = 1), 0)::BIGINT AS unique_bytes, coalesce(sum(size + 36) FILTER (WHERE blobs > 1), 0)::BIGINT AS shared_bytes, sum(refs * size)::BIGINT AS logical_bytes, round(sum(refs * size) / sum(size), 4) AS dedup_ratio FROM rc"
+    f"WITH {_RC} SELECT count(*) AS chunks_live, count(*) FILTER (WHERE blobs > 1) AS chunks_shared, coalesce(sum(size + 36) FILTER (WHERE blobs = 1), 0)::BIGINT AS unique_bytes, coalesce(sum(size + 36) FILTER (WHERE blobs > 1), 0)::BIGINT AS shared_bytes, sum(refs * size)::BIGINT AS logical_bytes, round(sum(refs * size) / sum(size + 36), 4) AS dedup_ratio FROM rc"
 )
 def share_store(spark, d):
     return ch.share_store(blocks(spark, d))
@@ -579,11 +579,66 @@ def session_gaps(spark, d):
 # Simulation
 
 
+def chains(spark, d):
+    c = ch.fixed_blocks(i.payloads(spark, d), 256).select("convo", "turn", "digest", "size")
+    return simulate.agenda(i.turns(spark, d).select(F.col("conv_id").alias("convo"), "turn", F.size("tokens").alias("tokens")), c)
+
+
+_SIM = ("trace", "name", "store", "hit_rate", "reused_positions", "requested_positions", "final_bytes", "peak_bytes", "evictions", "over_budget", "budget_bytes", "binding", "window_ticks", "restore_bytes")
+_STEPS = f"""{i.TURNS}, {i.CHUNKS}, blobs AS (SELECT convo, turn, sum(size)::BIGINT AS size FROM chunks GROUP BY ALL),
+firsts AS (SELECT convo, digest, min(turn) AS turn, max(size) AS size FROM chunks GROUP BY ALL), fresh AS (SELECT convo, turn, sum(size)::BIGINT AS fresh FROM firsts GROUP BY ALL),
+e AS (SELECT b.convo, b.turn, len(t.tokens) AS tokens, b.size, coalesce(f.fresh, 0) AS fresh, lag(len(t.tokens)) OVER w AS before, sum(b.size) OVER w AS whole, sum(coalesce(f.fresh, 0)) OVER w AS chunked
+  FROM blobs b JOIN turns t ON t.conv_id = b.convo AND t.turn = b.turn LEFT JOIN fresh f ON f.convo = b.convo AND f.turn = b.turn WINDOW w AS (PARTITION BY b.convo ORDER BY b.turn))"""
+
+
 @query()
 def replay_grid(spark, d):
-    c = ch.fixed_blocks(i.payloads(spark, d), 256).select("convo", "turn", "digest", "size")
-    steps = simulate.agenda(i.turns(spark, d).select(F.col("conv_id").alias("convo"), "turn", F.size("tokens").alias("tokens")), c)
-    return simulate.replay(steps, simulate.grid(spark, [0, 50_000, 200_000], [0, 20]))
+    entries, rows = simulate.grid(chains(spark, d), [0, 50_000, 200_000], [0, 20])
+    return simulate.replay(entries, rows).select(*_SIM)
+
+
+def experiment(spark, d):
+    entries, rows = simulate.scenarios(chains(spark, d).withColumn("trace", F.col("convo").cast("string")), [0.5, 1, 2])
+    return simulate.replay(entries, rows)
+
+
+@query()
+def sim_scenarios(spark, d):
+    """Both conversations of every chain under all scenarios."""
+    return experiment(spark, d).select(*_SIM)
+
+
+@query(
+    f"WITH {_STEPS}, s AS (SELECT convo::VARCHAR AS trace, round(sum(coalesce(before - 1, 0)) / sum(tokens - 1), 4) AS hit_rate, sum(coalesce(before - 1, 0))::BIGINT AS reused_positions, sum(tokens - 1)::BIGINT AS requested_positions, sum(size)::BIGINT AS w, sum(fresh)::BIGINT AS c FROM e GROUP BY convo)"
+    " SELECT trace, u.store, hit_rate, reused_positions, requested_positions, CASE WHEN u.store = 'whole' THEN w ELSE c END AS final_bytes FROM s, unnest(['whole', 'chunk']) u(store)"
+)
+def sim_growth(spark, d):
+    """Chains without a budget."""
+    return experiment(spark, d).where("name = 'S1 growth'").select("trace", "store", "hit_rate", "reused_positions", "requested_positions", "final_bytes")
+
+
+@query(f"WITH {_STEPS} SELECT convo::VARCHAR AS trace, u.store, row_number() OVER (PARTITION BY convo, u.store ORDER BY turn) - 1 AS tick, CASE WHEN u.store = 'whole' THEN whole ELSE chunked END::BIGINT AS bytes FROM e, unnest(['whole', 'chunk']) u(store)")
+def sim_trajectory(spark, d):
+    """Bytes of the store after each request of a chain without a budget."""
+    out = experiment(spark, d).where("name = 'S1 growth'")
+    return out.select("trace", "store", F.posexplode("trajectory").alias("tick", "bytes")).withColumn("tick", F.col("tick").cast("long"))
+
+
+@query(
+    f"WITH {_STEPS}, g AS (SELECT convo, turn, size, tokens, row_number() OVER w AS i, greatest(size - lag(size) OVER w, 0) AS own FROM e WINDOW w AS (PARTITION BY convo ORDER BY turn)),"
+    " f AS (SELECT c.convo, sum(c.size) AS base, count(*) AS n FROM (SELECT DISTINCT convo, turn, digest, size FROM chunks) c JOIN g ON g.convo = c.convo AND g.turn = c.turn AND g.i = 1 GROUP BY c.convo)"
+    " SELECT g.convo || '+b' AS convo, turn, tokens::BIGINT AS tokens, (f.n + count(CASE WHEN own > 0 THEN 1 END) OVER w)::BIGINT AS chunks, (f.base + sum(coalesce(own, 0)) OVER w)::BIGINT AS bytes FROM g JOIN f ON f.convo = g.convo WINDOW w AS (PARTITION BY g.convo ORDER BY turn) QUALIFY i > 1"
+)
+def sim_second_conversation(spark, d):
+    b = simulate.second_conversation(chains(spark, d).withColumn("trace", F.col("convo").cast("string")).withColumn("convo", F.col("convo").cast("string")))
+    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    return b.select("convo", "turn", "tokens", F.size("digests").cast("long").alias("chunks"), total.alias("bytes"))
+
+
+@query()
+def sim_store_ratios(spark, d):
+    """The chunk store's hit rate beside the whole-blob store's."""
+    return simulate.ratios(experiment(spark, d))
 
 
 # Relations

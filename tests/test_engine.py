@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefixloom.functions import keys
-from prefixloom.operators import chunks, policy, prefix, simulate, vectors
+from prefixloom.operators import chunks, policy, prefix, vectors
 from prefixloom.sources import wire
 
 FP = {"model_id": "golden-model", "tokenizer_hash": "golden-tok", "kv_dtype": "f16", "kv_layout_version": "1"}
@@ -160,12 +160,3 @@ def test_codebook_and_codes():
         cos = (x * y).sum(1) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1)
         assert cos.mean() > floor
     assert (vectors.unpack(vectors.pack(np.arange(130)[None] % 8, 3), 3, 130) == np.arange(130) % 8).all()
-
-
-def test_replay_invariants(spark):
-    steps = spark.createDataFrame([("a", t, 100 * t, 10 * t, [f"d{i}" for i in range(t)], [10] * t) for t in range(1, 9)], "convo string, turn long, tokens long, size long, digests array<string>, sizes array<long>")
-    out = {(r.store, r.budget, r.window): r for r in simulate.replay(steps, simulate.grid(spark, [0, 1000, 50], [0, 100])).collect()}
-    assert out["chunk", 0, 0].final_bytes == 80 and out["whole", 0, 0].final_bytes == 360
-    assert all(out[s, b, w].evictions == 0 for s in ("whole", "chunk") for b in (0, 1000) for w in (0, 100))
-    assert all(out[s, 50, 100].evictions == 0 and out[s, 50, 100].over_budget for s in ("whole", "chunk"))
-    assert out["chunk", 0, 0].hit_rate >= out["whole", 50, 0].hit_rate
