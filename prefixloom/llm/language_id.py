@@ -151,6 +151,10 @@ def _histograms(texts: pd.Series) -> pd.Series:
     return pd.Series([None if (h := histogram(t)) is None else packed(h) for t in texts])
 
 
+# A filter on a deterministic function's result is pushed below it, and the function is run twice.
+_histograms = _histograms.asNondeterministic()
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """Learns from ``labelled``: a bounded sample of it is drawn, its histograms (4 bytes a bucket in use) come to the driver."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
@@ -190,6 +194,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", drop_text: bool
         return pd.DataFrame([sent.value.predict(t) for t in texts], columns=list(RESULTS))
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    udf = pandas_udf(run, "lang_pred string, score double, ambiguous boolean")
+    # Not deterministic to the optimizer: a filter on the result would be pushed below and run the model twice.
+    udf = pandas_udf(run, "lang_pred string, score double, ambiguous boolean").asNondeterministic()
     kept = others(docs, *RESULTS, *([text] if drop_text else []))
     return docs.select(*kept, udf(F.col(text)).alias("_li")).select(*kept, "_li.*")
