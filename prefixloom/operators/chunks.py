@@ -120,14 +120,18 @@ def mean_new_frac(per_turn: DataFrame) -> DataFrame:
     return j.where("turns >= 2").groupBy("convo").agg(F.max("turns").alias("turns"), F.round(late("new_bytes") / late("payload_bytes"), 4).alias("mean_new_frac"), F.sum("new_bytes").cast("long").alias("unique_bytes"))
 
 
-def stability(chunks: DataFrame) -> DataFrame:
-    """One row: of the cuts of each turn below its length, how many come again in the next turn."""
-    length = chunks.groupBy("convo", "turn").agg(F.max("end_off").alias("_n"))
-    cuts = chunks.join(length, ["convo", "turn"]).where("end_off < _n").select("convo", "turn", "end_off")
-    later = chunks.select("convo", (F.col("turn") - 1).alias("turn"), "end_off").distinct().withColumn("_again", F.lit(1))
-    has_next = length.select("convo", (F.col("turn") - 1).alias("turn"))
-    j = cuts.join(has_next, ["convo", "turn"], "left_semi").join(later, ["convo", "turn", "end_off"], "left")
-    return j.agg(F.count("*").alias("cuts"), F.count("_again").alias("stable"), F.round(F.count("_again") / F.nullif(F.count("*"), F.lit(0)), 4).alias("stability"))
+def stability(chunks: DataFrame, stream: tuple[str, ...] = ("convo",)) -> DataFrame:
+    """One row: of the cuts of each turn below its length, how many come again in the next turn below the shared length; by ``stream`` (a head's, say)."""
+    keys = [*stream, "turn"]
+    length = chunks.groupBy(*keys).agg(F.max("end_off").alias("_n"))
+    first = chunks.groupBy(*keys).agg(F.min(F.col("end_off") - F.col("size")).alias("_b"))
+    own = chunks.join(length.join(first, keys), keys).select(*keys, (F.col("end_off") - F.col("_b")).alias("_cut"), (F.col("_n") - F.col("_b")).alias("_len"))
+    cuts = own.where("_cut < _len")
+    later = cuts.select(*stream, (F.col("turn") - 1).alias("turn"), "_cut").distinct().withColumn("_again", F.lit(1))
+    follows = length.join(first, keys).select(*stream, (F.col("turn") - 1).alias("turn"), (F.col("_n") - F.col("_b")).alias("_next"))
+    j = cuts.join(follows, keys).join(later, [*keys, "_cut"], "left")
+    again = F.count_if(F.col("_again").isNotNull() & (F.col("_cut") < F.least("_len", "_next")))
+    return j.agg(F.count("*").alias("cuts"), again.alias("stable"), F.round(F.coalesce(again / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)), 4).alias("stability"))
 
 
 def placements(records: DataFrame) -> DataFrame:

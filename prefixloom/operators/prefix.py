@@ -44,7 +44,8 @@ def _blocks(df: DataFrame, tokens: str) -> DataFrame:
     kept = [c for c in df.columns if c != tokens]
     cut = df.select(*kept, _cut(tokens).alias("_cut"))
     rows = F.arrays_zip(_lane(F.col("_cut"), 1).alias("a"), _lane(F.col("_cut"), 2).alias("b"), F.col("_cut").alias("x"))
-    rows = cut.select(*kept, F.posexplode(rows).alias("_b", "_z"))
+    # The outer form: Spark filters empty arrays before an inner one, and would compute them again for that.
+    rows = cut.select(*kept, F.posexplode_outer(rows).alias("_b", "_z")).where("_z IS NOT NULL")
     return rows.select(*kept, "_b", F.struct("_z.a", "_z.b").alias("_h"), F.col("_z.x").alias("_x"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,22 +9,9 @@ from ..functions import content, keys, tokens
 from ..operators import chunks as ch
 from ..operators import evict, forensics, gates, lifecycle, policy, prefix, simulate, trace, vectors
 from . import inputs as i
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function by its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 def routed(spark: SparkSession, d: str) -> DataFrame:
     return policy.classified(prefix.matches(i.requests(spark, d), i.entries(spark, d)))
@@ -685,3 +670,6 @@ def running_spend(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     gap = F.col("o_orderkey") - F.lag("o_orderkey").over(w)
     return i.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("last_three"), gap.alias("gap"))
+
+
+from . import identities, storage, studies  # noqa: E402, F401  (their queries join the same registry)
