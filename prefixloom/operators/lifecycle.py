@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import prefix
-from .evict import prefix_sums
+from . import identity, prefix
+from .evict import candidates, prefix_sums
 
 
 def keep_latest(entries: DataFrame, *keys: str) -> DataFrame:
@@ -63,3 +63,75 @@ def generation_of(path: Column) -> Column:
     """Generation in a file name `{hash:032x}-{generation:016x}.ckpt`, null if it isn't one."""
     pattern = r"([0-9a-f]{32})-([0-9a-f]{16})\.ckpt$"
     return F.when(path.rlike(pattern), F.conv(F.regexp_extract(path, pattern, 2), 16, 10).cast("decimal(20,0)"))
+
+
+def opened(blobs: DataFrame, trust_legacy: bool = False) -> DataFrame:
+    """``blobs`` (name, key, reject, format_version, payload_sha256) with state, as a store finds them when it opens.
+
+    ``corrupt`` (a reject, or a name that isn't its header's) and ``superseded`` (not the best of its key by format version,
+    then name) are reclaimed, ``legacy`` (no digest) stays unindexed unless trusted, the rest is ``indexed``.
+    """
+    corrupt = F.col("reject").isNotNull() | (F.col("payload_sha256").isNotNull() & ~identity.bound(F.col("name"), F.col("key")))
+    first = blobs.withColumn("state", F.when(corrupt, "corrupt").when(F.col("payload_sha256").isNull() & ~F.lit(trust_legacy), "legacy").otherwise("indexed"))
+    best = ranked(first.where("state = 'indexed'"), "key").select(F.col("name").alias("_best"))
+    out = first.join(best, F.col("name") == F.col("_best"), "left")
+    return out.withColumn("state", F.when((F.col("state") == "indexed") & F.col("_best").isNull(), "superseded").otherwise(F.col("state"))).drop("_best")
+
+
+def put(entries: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables without superseded names (a name goes if a greater one has its key), and those names: name, superseded_by."""
+    both = entries.unionByName(new)
+    last = both.groupBy(key).agg(F.max("name").alias("_last"))
+    marked = both.join(last, key)
+    gone = superseded_names(both, key).select("name", "superseded_by")
+    return marked.where("name = _last").select(*entries.columns), gone
+
+
+def quarantined(entries: DataFrame, targets: DataFrame) -> DataFrame:
+    """``entries`` with state quarantined where a target has the name, generation and tokens of a published one."""
+    hit = targets.select("name", "generation", "tokens").distinct().withColumn("_hit", F.lit(True))
+    j = entries.join(hit, ["name", "generation", "tokens"], "left")
+    return j.withColumn("state", F.when(F.col("_hit") & (F.col("state") == "published"), "quarantined").otherwise(F.col("state"))).select(*entries.columns)
+
+
+def removed(entries: DataFrame, targets: DataFrame, state: str) -> DataFrame:
+    """``entries`` without those of ``state`` that a target names by name, generation and tokens: a newer generation at the same name stays."""
+    hit = targets.select("name", "generation", "tokens").distinct().withColumn("state", F.lit(state))
+    return entries.join(hit, ["name", "generation", "tokens", "state"], "left_anti").select(*entries.columns)
+
+
+def state_counts(entries: DataFrame) -> DataFrame:
+    """One row: published and quarantined entries."""
+    return entries.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("published", "quarantined")])
+
+
+def last_generation(names: DataFrame, name: str = "name") -> DataFrame:
+    """One row: the greatest generation of all names that have one, 0 without."""
+    return names.agg(F.coalesce(F.max(generation_of(F.col(name))), F.lit(0)).cast("decimal(20,0)").alias("generation"))
+
+
+def reserved(new: DataFrame, names: DataFrame, order: str, name: str = "name") -> DataFrame:
+    """``new`` with generation: consecutive numbers from after the last one in use, in ``order``."""
+    one = new.withColumn("_one", F.lit(1).cast("long"))
+    out = prefix_sums(one, "_one", [F.col(order)], "_ahead").drop("_one")
+    return out.withColumn("generation", (last_generation(names, name).scalar() + F.col("_ahead") + 1).cast("decimal(20,0)")).drop("_ahead")
+
+
+def evict_cold(entries: DataFrame, cap: int | None, budget: int | None, now: int, window: int) -> DataFrame:
+    """Victims of one sweep of a daemon: name, reason (``cap``, ``budget`` or ``tombstone``).
+
+    Published entries go most tokens first, as long as there are more than ``cap`` or they hold more than ``budget`` bytes;
+    anchors and recently used ones stay. Quarantined entries beyond ``cap`` (all of them without one) go, the coldest first.
+    """
+    live = entries.where("state = 'published'")
+    marked = prefix.with_anchor(live)
+    total = live.agg(F.struct(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"))).scalar()
+    c = candidates(marked, now, window).withColumn("_one", F.lit(1).cast("long"))
+    order = [F.size("tokens").desc(), F.col("name")]
+    c = prefix_sums(c, "_one", order, "_rank")
+    c = prefix_sums(c.select("name", "tokens", "size_bytes", "_rank"), "size_bytes", order, "_freed")
+    over_cap = F.lit(False) if cap is None else F.col("_rank") < total["n"] - cap
+    over_budget = F.lit(False) if not budget else total["b"] - F.col("_freed") > budget
+    victims = c.where(over_cap | over_budget).select("name", F.when(over_cap, "cap").otherwise("budget").alias("reason"))
+    stones = quarantine_excess(entries, cap or 0).select("name", F.lit("tombstone").alias("reason"))
+    return victims.unionByName(stones)
