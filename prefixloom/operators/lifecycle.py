@@ -135,3 +135,10 @@ def evict_cold(entries: DataFrame, cap: int | None, budget: int | None, now: int
     victims = c.where(over_cap | over_budget).select("name", F.when(over_cap, "cap").otherwise("budget").alias("reason"))
     stones = quarantine_excess(entries, cap or 0).select("name", F.lit("tombstone").alias("reason"))
     return victims.unionByName(stones)
+
+
+def capped(marked: DataFrame, cap: int, store: str) -> DataFrame:
+    """Victims of one sweep in each of many small stores: most tokens first, no anchors (is_anchor), until ``cap`` entries are left."""
+    w = Window.partitionBy(store)
+    rank = F.row_number().over(w.orderBy("is_anchor", F.size("tokens").desc(), "name"))
+    return marked.withColumns({"_rank": rank, "_n": F.count("*").over(w)}).where((F.col("_rank") <= F.col("_n") - cap) & ~F.col("is_anchor")).drop("_rank", "_n")

@@ -85,3 +85,42 @@ def monotonic_breaks(rows: DataFrame, size: str, value: str, keys: list[str]) ->
     """Rows whose value is below that of the next smaller size."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(size))
     return rows.withColumn("previous", before).where(F.col(value) < F.col("previous"))
+
+
+def medians(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """By ``keys``: the median, between the two middle values where they are two, and the mean."""
+    return df.groupBy(*keys).agg(F.median(value).alias("median"), F.round(F.avg(value), 1).alias("mean"), F.count(value).alias("n"))
+
+
+def leg_latencies(samples: DataFrame, *keys: str) -> DataFrame:
+    """By leg: latencies of samples (ttft_ms, tpot_ms) by rank, the mean, the 95th percentile only of 100 samples and more."""
+    t = pct_round(samples, "ttft_ms", list(keys), {"ttft_p50_ms": 0.5, "ttft_p95_ms": 0.95})
+    p = pct_round(samples, "tpot_ms", list(keys), {"tpot_p50_ms": 0.5}).drop("n")
+    mean = samples.groupBy(*keys).agg(F.round(F.avg("ttft_ms"), 1).alias("ttft_mean_ms"))
+    j = t.withColumn("ttft_p95_ms", suppressed(F.col("ttft_p95_ms"), F.col("n"))).join(p, list(keys), "left").join(mean, list(keys))
+    return j
+
+
+def score_agreement(samples: DataFrame, records: DataFrame, *keys: str) -> DataFrame:
+    """By leg: totals of samples (prompt_tokens, served) beside those of trace records (n_tokens, prefill_from), and whether counts and totals agree."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    a = samples.groupBy(*keys).agg(F.count("*").alias("samples"), total("prompt_tokens").alias("samples_tokens"), total("served").alias("samples_served"))
+    b = records.groupBy(*keys).agg(F.count("*").alias("records"), total("n_tokens").alias("tokens_total"), total("prefill_from").alias("tokens_reused"))
+    j = a.join(b, list(keys), "full")
+    same = F.col("samples").eqNullSafe(F.col("records")) & F.col("samples_tokens").eqNullSafe(F.col("tokens_total")) & F.col("samples_served").eqNullSafe(F.col("tokens_reused"))
+    return j.withColumn("agrees", same)
+
+
+def phases(timings: DataFrame, phase: str = "phase", seconds: str = "seconds") -> DataFrame:
+    """By phase: runs, their total and mean seconds."""
+    return timings.groupBy(phase).agg(F.count(seconds).alias("runs"), F.round(F.sum(seconds), 6).alias("total_s"), F.round(F.avg(seconds), 6).alias("mean_s"))
+
+
+def per_token(payload_bytes: Column, tokens: Column) -> Column:
+    return F.round(payload_bytes / F.greatest(tokens, F.lit(1)), 1)
+
+
+def first_token(events: DataFrame, key: str, ts: str, kind: str) -> DataFrame:
+    """By request: milliseconds from its start to its first token; null without one. Also over a stream, in update mode."""
+    at = lambda k: F.min(F.when(F.col(kind) == k, F.unix_millis(ts)))
+    return events.groupBy(key).agg((at("token") - at("start")).alias("ttft_ms"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +88,117 @@ def encoded(vectors: DataFrame, column: str, d: int, bits: int) -> DataFrame:
     return vectors.select(*kept, F.pandas_udf(run, CODE)(column).alias("_c")).select(*kept, "_c.*")
 
 
+def decoded(codes: DataFrame, d: int, bits: int) -> DataFrame:
+    """``codes`` (packed, norm) with vector in their place; null for a null code."""
+
+    def run(packed: pd.Series, norm: pd.Series) -> pd.Series:
+        ok = packed.notna().to_numpy()
+        out = pd.Series([None] * len(packed), dtype=object)
+        if ok.any():
+            out[ok] = pd.Series(list(decode(np.stack(packed[ok].to_list()), norm[ok].to_numpy(), bits, d).astype(np.float32)), index=out.index[ok])
+        return out
+
+    run.__annotations__ = {"packed": pd.Series, "norm": pd.Series, "return": pd.Series}
+    return codes.select(*[c for c in codes.columns if c not in ("packed", "norm")], F.pandas_udf(run, "array<float>")("packed", "norm").alias("vector"))
+
+
+def appended(codes: DataFrame, vectors: DataFrame, column: str, d: int, bits: int) -> DataFrame:
+    """Codes of what came before and of what comes now: each vector is coded alone, so this is the code of all at once."""
+    return codes.unionByName(encoded(vectors, column, d, bits).select(*codes.columns))
+
+
+def trimmed(codes: DataFrame, position: str, keep: int) -> DataFrame:
+    """Codes of the first ``keep`` positions."""
+    return codes.where(F.col(position) < keep)
+
+
+def group_dequantised(code: Column, group: int) -> Column:
+    """The values of ``group_quantised``."""
+    return F.transform(code["q"], lambda q, i: q * F.get(code["scale"], F.floor(i / group).cast("int")) + F.get(code["bias"], F.floor(i / group).cast("int")))
+
+
+def tier_bytes(d: int, key_bits: int, value_bits: int, group: int) -> int:
+    """Bytes of a position's key and value under a tier: packed codes, a norm, and a scale and bias (2 bytes each) per group."""
+    words = lambda bits: -(-d // (32 // bits)) * 4
+    return words(key_bits) + 4 + words(value_bits) + -(-d // group) * 4
+
+
+def fidelity(states: DataFrame, d: int, tiers: list[tuple[int, int, int]]) -> DataFrame:
+    """A row per tier (key bits, value bits, group) of ``states`` (layer, key, value): what encoding and decoding costs.
+
+    A layer's cosine is the lesser of its keys' and values' mean row cosine, rows without a length left out (0 if all are).
+    tier, min_layer_cos, mean_layer_cos, bytes_per_token, x_vs_f16.
+    """
+    layers = states.select("layer").distinct().agg(F.count("*")).scalar()
+    out = None
+    for kb, vb, g in tiers:
+        if d % g:
+            raise ValueError(f"vectors of {d} do not divide into groups of {g}")
+        k = decoded(encoded(states.withColumn("_k", F.col("key")), "_k", d, kb), d, kb).withColumnRenamed("vector", "_key")
+        v = k.withColumn("_value", group_dequantised(group_quantised(F.col("value"), vb, g), g))
+        mean = lambda a, b: F.coalesce(F.avg(cosine(F.col(a), F.col(b))), F.lit(0.0))
+        per = v.groupBy("layer").agg(F.least(mean("key", "_key"), mean("value", "_value")).alias("c"))
+        size = tier_bytes(d, kb, vb, g)
+        row = per.agg(F.lit(f"tq-k{kb}v{vb}-g{g}").alias("tier"), F.round(F.min("c"), 5).alias("min_layer_cos"), F.round(F.avg("c"), 5).alias("mean_layer_cos"))
+        row = row.withColumns({"bytes_per_token": (F.lit(size) * layers).cast("long"), "x_vs_f16": F.round(F.lit(4 * d / size), 2)})
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def framed(states: DataFrame, key_bits: int, value_bits: int, group: int) -> DataFrame:
+    """blob, payload, refused: the states of a blob (blob, layer, position, key, value) as one tensor payload.
+
+    The payload carries codebook and rotation, so nothing is recomputed to read it. Refused (and null) are blobs whose layers aren't
+    0, 1, ... with the same positions, or whose vectors differ in length or don't divide into groups.
+    """
+    from ..sources import wire
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["layer", "position"])
+        counts = rows.groupby("layer")["position"].agg(list)
+        dims = {len(x) for c in ("key", "value") for x in rows[c]}
+        d = min(dims)
+        why = "layers" if list(counts.index) != list(range(len(counts))) else "positions" if any(p != list(range(len(counts.iloc[0]))) for p in counts) else "dims" if len(dims) > 1 or d < 2 else "groups" if d % group else None
+        payload = None
+        if why is None:
+            tensors = {f"cb.{d}.{key_bits}": codebook(d, key_bits).astype(np.float32), f"rot.{d}": rotation(d).astype(np.float32)}
+            for layer, part in rows.groupby("layer"):
+                words, norm = encode(np.stack(part["key"].to_list()).astype(np.float64), key_bits)
+                x = np.stack(part["value"].to_list()).astype(np.float64).reshape(len(part), -1, group)
+                low = x.min(2)
+                scale = np.maximum((x.max(2) - low) / ((1 << value_bits) - 1), 1e-12)
+                q = np.rint((x - low[..., None]) / scale[..., None]).astype(np.int64).reshape(len(part), d)
+                tensors |= {f"layers.{layer}.k.idx": words.astype(np.uint32), f"layers.{layer}.k.norm": norm, f"layers.{layer}.v.q": pack(q, value_bits).astype(np.uint32), f"layers.{layer}.v.s": scale.astype(np.float32), f"layers.{layer}.v.b": low.astype(np.float32)}
+            payload = wire.encode_tensors(tensors, {"key_bits": str(key_bits), "value_bits": str(value_bits), "group": str(group)})
+        return pd.DataFrame({"blob": [key[0]], "payload": [payload], "refused": [why]})
+
+    return states.groupBy("blob").applyInPandas(run, "blob string, payload binary, refused string")
+
+
+def unframed(frames: DataFrame) -> DataFrame:
+    """blob, layer, position, key, value of the payloads of ``framed``; a payload that isn't one fails."""
+    from ..sources import wire
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for blob, payload in zip(batch["blob"], batch["payload"]):
+                tensors, meta = wire.decode_tensors(bytes(payload))
+                kb, vb, group = (int(meta[k]) for k in ("key_bits", "value_bits", "group"))
+                turn = next(v for k, v in tensors.items() if k.startswith("rot.")).astype(np.float64)
+                d, levels = len(turn), next(v for k, v in tensors.items() if k.startswith("cb.")).astype(np.float64)
+                for layer in range(sum(k.endswith(".k.idx") for k in tensors)):
+                    t = {n: tensors[f"layers.{layer}.{n}"] for n in ("k.idx", "k.norm", "v.q", "v.s", "v.b")}
+                    if t["k.idx"].shape[1] != -(-d // (32 // kb)) or t["v.q"].shape[1] != -(-d // (32 // vb)):
+                        raise ValueError(f"{blob}: layer {layer} has codes of another width")
+                    keys = levels[unpack(t["k.idx"].astype(np.int64), kb, d)] / np.sqrt(d) @ turn * t["k.norm"][:, None]
+                    values = unpack(t["v.q"].astype(np.int64), vb, d).reshape(len(keys), -1, group) * t["v.s"][..., None] + t["v.b"][..., None]
+                    out += [(blob, layer, p, k.astype(np.float32), v.astype(np.float32)) for p, (k, v) in enumerate(zip(keys, values.reshape(len(keys), d)))]
+            yield pd.DataFrame(out, columns=["blob", "layer", "position", "key", "value"])
+
+    return frames.where("payload IS NOT NULL").select("blob", "payload").mapInPandas(run, "blob string, layer int, position int, key array<float>, value array<float>")
+
+
 def scored(codes: DataFrame, query: list[float], bits: int) -> DataFrame:
     """``codes`` with score: the dot product with ``query``, taken on the codes (query rotated once)."""
     d = len(query)
@@ -152,26 +265,48 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def top_k_each(codes: DataFrame, queries: DataFrame, d: int, bits: int, k: int, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """query_id, vec_id, score (to 6 decimals): the ``k`` best of ``vectors`` (vec_id, embedding) by dot product; in blocks like ``top_k_each``."""
+
+    def score(v: pd.DataFrame, query: np.ndarray) -> np.ndarray:
+        return np.round(np.stack(v["embedding"].to_list()).astype(np.float64) @ query, 6)
+
+    return _blockwise(vectors.where("embedding IS NOT NULL").select("vec_id", "embedding"), queries, score, k, block, query_block)
+
+
+def top_k_each(codes: DataFrame, queries: DataFrame, d: int, bits: int, k: int, block: int = 8192, query_block: int = 1024, residuals: bool = False) -> DataFrame:
     """query_id, vec_id, score: the ``k`` best of ``codes`` (vec_id, packed, norm) for each of ``queries`` (query_id, embedding); null vectors are left out.
 
-    Blocks of codes meet blocks of queries, so a task holds one of each.
+    Blocks of codes meet blocks of queries, so a task holds one of each. ``residuals``: codes have signs and
+    residual_norm, whose correction is added.
     """
-    codes, queries = codes.where("packed IS NOT NULL"), queries.where("embedding IS NOT NULL")
+    columns = ["vec_id", "packed", "norm", *(["signs", "residual_norm"] if residuals else [])]
+
+    def score(c: pd.DataFrame, query: np.ndarray) -> np.ndarray:
+        y = codebook(d, bits)[unpack(np.stack(c["packed"].to_list()), bits, d)]
+        out = y @ (rotation(d) @ query) * (c["norm"].to_numpy() / np.sqrt(d))
+        if residuals:
+            out = out + correction(query, np.stack([np.frombuffer(s, np.uint8) for s in c["signs"]]), c["residual_norm"].to_numpy(), c["norm"].to_numpy())
+        return out
+
+    return _blockwise(codes.where("packed IS NOT NULL").select(*columns), queries, score, k, block, query_block)
+
+
+def _blockwise(codes: DataFrame, queries: DataFrame, score: Callable[[pd.DataFrame, np.ndarray], np.ndarray], k: int, block: int, query_block: int) -> DataFrame:
+    queries = queries.where("embedding IS NOT NULL")
     n, m = -(-codes.count() // block) or 1, -(-queries.count() // query_block) or 1
     numbers = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    left = codes.select("vec_id", "packed", "norm", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b"), numbers(m).alias("q"))
+    left = codes.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("b"), numbers(m).alias("q"))
     right = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("q"), numbers(n).alias("b"))
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        y = codebook(d, bits)[unpack(np.stack(c["packed"].to_list()), bits, d)]
-        ids, norm, out = c["vec_id"].to_numpy(), c["norm"].to_numpy() / np.sqrt(d), []
+        ids, out = c["vec_id"].to_numpy(), []
         for query, v in zip(q["query_id"], q["embedding"]):
-            score = y @ (rotation(d) @ np.asarray(v, np.float64)) * norm
-            best = np.lexsort((ids, -score))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": score[best]}))
+            scores = score(c, np.asarray(v, np.float64))
+            best = np.lexsort((ids, -scores))[:k]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": scores[best]}))
         return pd.concat(out, ignore_index=True)
 
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(run, "query_id long, vec_id long, score double")

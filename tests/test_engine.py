@@ -135,9 +135,13 @@ def test_segments_and_manifests(spark):
 
 def test_manifest_round_trip(spark):
     refs = [(hashlib.sha256(b"a").digest(), 4, 2, 16, 64), (hashlib.sha256(b"b").digest(), 1, 1, 5_000_000_000, 0)]
-    files = [("m", wire.encode_manifest(99, refs)), ("none", wire.encode_manifest(0, [])), ("cut", wire.encode_manifest(9, refs)[:-1])]
+    size = 5_000_000_001  # the end of the last reference: a manifest covers its payload
+    files = [("m", wire.encode_manifest(size, refs)), ("none", wire.encode_manifest(0, [])), ("cut", wire.encode_manifest(size, refs)[:-1]), ("long", wire.encode_manifest(size + 1, refs))]
+    files += [("short", wire.encode_manifest(99, refs)), ("magic", b"XXXX" + wire.encode_manifest(0, [])[4:]), ("v9", b"MCKM" + struct.pack("<HQQ", 9, 0, 0)), ("flat", wire.encode_manifest(4, [(bytes(32), 4, 0, 0, 0)])), ("tiny", b"MC")]
+    faults = {r.blob: r.reject for r in wire.manifest_faults(spark.createDataFrame(files, "blob string, content binary"), "blob").collect()}
+    assert faults == {"m": None, "none": None, "cut": "truncated", "long": "coverage", "short": "placement", "magic": "magic", "v9": "version", "flat": "geometry", "tiny": "magic"}
     rows = wire.manifests(spark.createDataFrame(files, "blob string, content binary"), "blob").orderBy("chunk_no").collect()
-    assert [(r.blob, r.chunk_no, bytes.fromhex(r.digest), r.per_head_len, r.n_heads, r.first_off, r.head_stride, r.payload_len) for r in rows] == [("m", i, *x, 99) for i, x in enumerate(refs)]
+    assert [(r.blob, r.chunk_no, bytes.fromhex(r.digest), r.per_head_len, r.n_heads, r.first_off, r.head_stride, r.payload_len) for r in rows] == [("m", i, *x, size) for i, x in enumerate(refs)]
 
 
 def test_content_defined_chunks():
