@@ -99,3 +99,8 @@ def vocabulary_hash(vocabulary: pd.Series) -> pd.Series:
 def composition(names: Column) -> Column:
     """16 hex digits of the ordered class names of a cache."""
     return F.substring(F.sha2(F.array_join(names, ","), 256), 1, 16)
+
+
+def scanned(text: Column, path: str, kind: str = "string") -> Column:
+    """The value at ``path`` (like `$.a.b`) of a JSON text, as ``kind``; null if the text is broken, the path is absent or the value is of another kind."""
+    return F.try_variant_get(F.try_parse_json(text), path, kind)

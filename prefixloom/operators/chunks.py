@@ -159,13 +159,13 @@ def compaction_plan(stats: DataFrame, active: int, ratio: float, least_dead: int
 
 
 def packed_offsets(records: DataFrame, segment: str = "seg") -> DataFrame:
-    """Offsets of live records in a rewritten segment, in order of digest."""
+    """Offsets of live records in a rewritten segment, in order of digest. A segment's records are one task's: its target size bounds them."""
     ahead = F.sum(F.col("body_len") + RECORD_HEADER).over(Window.partitionBy(segment).orderBy("digest").rowsBetween(Window.unboundedPreceding, -1))
     return records.withColumn("new_off", (F.coalesce(ahead, F.lit(0)) + SEGMENT_HEADER).cast("long"))
 
 
 def gaps(spans: DataFrame) -> DataFrame:
-    """Bytes between consecutive spans (blob, start, end) and before the first."""
+    """Bytes between consecutive spans (blob, start, end) and before the first. A blob's spans (numbers) are one task's: its size bounds them."""
     before = F.coalesce(F.lag("end").over(Window.partitionBy("blob").orderBy("start", "end")), F.lit(0))
     return spans.select("blob", before.cast("long").alias("gap_start"), F.col("start").cast("long").alias("gap_end")).where("gap_end > gap_start")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,24 @@ def prefix_sums(df: DataFrame, value: str, order: list[Column], out: str, bucket
     so; sums of ranges give each range's start. With ``by`` (not null) sums start anew at each of its keys,
     and a hot key lies across many ranges.
     """
+    ranged, start, inside = _ranged(df, value, order, buckets, by, F.sum)
+    return ranged.withColumn(out, F.coalesce(start, F.lit(0)) + F.coalesce(inside, F.lit(0))).drop("_part", "_start")
+
+
+def prefix_max(df: DataFrame, value: str, order: list[Column], out: str, buckets: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Like ``prefix_sums``, the greatest ``value`` before; null without one."""
+    ranged, start, inside = _ranged(df, value, order, buckets, by, F.max)
+    return ranged.withColumn(out, F.greatest(start, inside)).drop("_part", "_start")
+
+
+def _ranged(df: DataFrame, value: str, order: list[Column], buckets: int | None, by: tuple[str, ...], fold: Callable) -> tuple[DataFrame, Column, Column]:
+    """The rows in ranges, the fold of all ranges before, and that of the rows before within the range."""
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialised(df.repartitionByRange(buckets, *by, *order).withColumn("_part", F.spark_partition_id()))
-    starts = ranged.groupBy("_part", *by).agg(F.sum(value).alias("_s"))
-    starts = starts.withColumn("_start", F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(starts, ["_part", *by]).withColumn(out, F.col("_start") + inside).drop("_part", "_start")
+    rows = materialised(df.repartitionByRange(buckets, *by, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part", *by).agg(fold(value).alias("_s")).withColumn("_start", fold("_s").over(before)).drop("_s")
+    inside = fold(value).over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(starts, ["_part", *by]), F.col("_start"), inside
 
 
 def candidates(entries: DataFrame, now: int, window: int) -> DataFrame:

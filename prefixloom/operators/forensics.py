@@ -79,3 +79,21 @@ def worker_groups(items: DataFrame, workers: int, per: str, order: str, size: st
     w = Window.partitionBy(per)
     ahead = F.coalesce(F.sum(size).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return items.withColumn("worker", F.least(F.floor(ahead * workers / F.greatest(F.sum(size).over(w), F.lit(1))), F.lit(workers - 1)).cast("long"))
+
+
+def materialised(chunks: DataFrame, lengths: DataFrame, segment_bytes: int | None, per: str = "blob") -> tuple[DataFrame, DataFrame]:
+    """Where the chunks of payloads lie (``per``, start, size, seg, seg_off), and the spans kept inline: bytes that no chunk covers (``per``, gap_start, gap_end).
+
+    ``chunks``: ``per``, end_off, size. ``segment_bytes``: packed into segments of that size; None: a file for each chunk.
+    ``lengths``: ``per``, payload_len.
+    """
+    if segment_bytes is None:
+        order = Window.partitionBy(per).orderBy("end_off", "size")
+        placed = chunks.select(per, F.col("end_off").cast("long"), F.col("size").cast("long")).withColumns({"seg": (F.row_number().over(order) - 1).cast("long"), "seg_off": F.lit(0).cast("long")})
+    else:
+        placed = rolled(chunks, segment_bytes, per)
+    placed = placed.select(per, (F.col("end_off") - F.col("size")).alias("start"), "size", "seg", "seg_off")
+    spans = placed.select(per, "start", (F.col("start") + F.col("size")).alias("end")).unionByName(lengths.select(per, F.col("payload_len").cast("long").alias("start"), F.col("payload_len").cast("long").alias("end")))
+    before = F.coalesce(F.max("end").over(Window.partitionBy(per).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inline = spans.select(per, before.cast("long").alias("gap_start"), F.col("start").alias("gap_end")).where("gap_end > gap_start")
+    return placed, inline

@@ -97,3 +97,17 @@ def usable(entry_tokens: Column, request: Column, matched: Column) -> Column:
     """A restored checkpoint may be used: it has ``matched`` tokens, and all but its last begin the request."""
     n = F.size(entry_tokens)
     return (n == matched) & (n >= 2) & (F.slice(entry_tokens, F.lit(1), F.greatest(n - 1, F.lit(0))) == F.slice(request, F.lit(1), F.greatest(n - 1, F.lit(0))))
+
+
+def usability(entry_tokens: Column, request: Column, payload_bytes: Column, sound: Column) -> Column:
+    """What a restored checkpoint is: ``rejected`` (to be retired), ``unusable`` (the request runs from scratch, the entry stays) or ``usable``.
+
+    Rejected: no tokens recorded, a payload that is empty or not ``sound``, or tokens but the last that aren't the request's.
+    Unusable: fewer than two tokens, or more than the request has.
+    """
+    n = F.coalesce(F.size(entry_tokens), F.lit(0))
+    head = F.greatest(n - 1, F.lit(0))
+    apart = F.slice(entry_tokens, F.lit(1), head) != F.slice(request, F.lit(1), head)
+    return (
+        F.when(n < 1, "rejected").when((n < 2) | (n > F.size(request)), "unusable").when(apart | (F.coalesce(payload_bytes, F.lit(0)) <= 0) | ~F.coalesce(sound, F.lit(False)), "rejected").otherwise("usable")
+    )

@@ -131,3 +131,20 @@ def scattered(manifest: DataFrame, bodies: DataFrame) -> DataFrame:
     tail = F.repeat(F.lit("00"), F.greatest(F.col("n") - F.element_at("e", -1), F.lit(0)).cast("int"))
     bad = F.col("lost") | over | (F.element_at("e", -1) > F.col("n"))
     return g.select("blob", F.when(~bad, F.unhex(F.concat(F.array_join(filled, ""), tail))).alias("payload"))
+
+
+def round_trip(blobs: DataFrame, block: int = TOKEN_BLOCK) -> DataFrame:
+    """blob, bytes, chunks, bytes_per_position, same: payloads cut into blocks and put together again, byte for byte."""
+    refs = token_blocks(blobs, block)
+    heads = F.sequence(F.lit(0).cast("bigint"), F.col("n_heads") - 1)
+    slices = F.transform(heads, lambda h: _bytes(F.col("payload"), F.col("first_off") + h * F.col("head_stride"), F.col("per_head_len")))
+    own = blobs.select("blob", "positions", F.col("payload").cast("binary").alias("payload"))
+    j = refs.join(own, "blob")
+    bodies = j.select("digest", F.aggregate(slices, F.lit(b""), lambda a, x: F.concat(a, x)).alias("body"))
+    manifest = refs.join(own.select("blob", F.octet_length("payload").cast("bigint").alias("payload_len")), "blob")
+    back = scattered(manifest, bodies).select("blob", F.sha2("payload", 256).alias("_back"))
+    counts = refs.groupBy("blob").agg(F.count("*").alias("chunks"))
+    out = own.join(back, "blob", "left").join(counts, "blob", "left")
+    n = F.octet_length("payload").cast("bigint")
+    same = F.when(n == 0, True).otherwise(F.coalesce(F.sha2("payload", 256) == F.col("_back"), F.lit(False)))
+    return out.select("blob", n.alias("bytes"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.round(n / F.greatest("positions", F.lit(1)), 2).alias("bytes_per_position"), same.alias("same"))

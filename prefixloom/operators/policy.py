@@ -55,3 +55,8 @@ def finish_reason(max_tokens: Column, generated: Column) -> Column:
 
 def error_class(status: Column) -> Column:
     return F.when(status == 422, "rejected").when(status == 503, "transport").otherwise("upstream")
+
+
+def from_scratch(requests: DataFrame) -> DataFrame:
+    """``requests`` (tokens) as they are decided without a lookup: all misses."""
+    return classified(requests.withColumn("matched_tokens", F.lit(0).cast("long")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evict import prefix_sums
+from .evict import prefix_max, prefix_sums
 
 
 def _at(df: DataFrame, value: str, keys: list[str], index, names: dict[str, float]) -> DataFrame:
@@ -60,12 +60,16 @@ def premise_violations(samples: DataFrame) -> DataFrame:
     return samples.withColumn("problem", F.explode(found))
 
 
-def positional_join(samples: DataFrame, records: DataFrame, key: str, order_a: str, order_b: str) -> DataFrame:
-    """The i-th sample with the i-th record of each ``key``; matched is false for all of a key whose counts differ."""
-    i = lambda df, o: df.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(o)))
+def positional_join(samples: DataFrame, records: DataFrame, key: str, order_a: str, order_b: str, offset: int = 0) -> DataFrame:
+    """The i-th sample with the i-th record after ``offset`` of each ``key`` (not null); matched is false for all of a key whose counts differ.
+
+    Places are prefix sums, so a hot key's rows are numbered by many tasks.
+    """
+    i = lambda df, o: prefix_sums(df.dropna(subset=[key]).withColumn("_one", F.lit(1).cast("long")), "_one", [F.col(o)], "_i", by=(key,)).drop("_one")
+    later = i(records, order_b).withColumn("_i", F.col("_i") - offset).where("_i >= 0")
     n = lambda df, c: df.groupBy(key).agg(F.count("*").alias(c))
-    same = n(samples, "_a").join(n(records, "_b"), key).select(key, (F.col("_a") == F.col("_b")).alias("matched"))
-    return i(samples, order_a).join(i(records, order_b), [key, "_i"]).join(same, key).drop("_i")
+    same = n(samples, "_a").join(n(later, "_b"), key).select(key, (F.col("_a") == F.col("_b")).alias("matched"))
+    return i(samples, order_a).join(later, [key, "_i"]).join(same, key).drop("_i")
 
 
 def counter_delta(snapshots: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -74,11 +78,15 @@ def counter_delta(snapshots: DataFrame, key: str, order: str, value: str) -> Dat
 
 
 def single_flight(requests: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """``requests`` with flight: overlapping requests of a key share one, numbered in order of start."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    ahead = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(ahead.isNull() | (F.col(start) > ahead), 1).otherwise(0)
-    return requests.withColumn("_o", opens).withColumn("flight", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_o")
+    """``requests`` with flight: overlapping requests of a key (not null) share one, numbered in order of start.
+
+    A running maximum of ends, then a running sum of openings, both by ranges: a hot key's requests lie across many tasks.
+    """
+    order = [F.col(start), F.col(end)]
+    seen = prefix_max(requests.dropna(subset=[key]), end, order, "_ahead", by=(key,))
+    opens = F.when(F.col("_ahead").isNull() | (F.col(start) > F.col("_ahead")), 1).otherwise(0).cast("long")
+    out = prefix_sums(seen.withColumn("_o", opens), "_o", order, "_f", by=(key,))
+    return out.withColumn("flight", F.col("_f") + F.col("_o")).drop("_o", "_f", "_ahead")
 
 
 def monotonic_breaks(rows: DataFrame, size: str, value: str, keys: list[str]) -> DataFrame:

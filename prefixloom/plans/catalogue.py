@@ -395,7 +395,11 @@ def byte_divergence(spark, d):
     return t.join(after, "doc_id").select("doc_id", forensics.first_diff("a", "b").alias("first_diff_byte"))
 
 
-@query()
+@query(
+    "WITH pay AS (SELECT conv_id AS convo, turn, 'c' || conv_id || '-t' || turn AS blob, string_agg(hex(text), '') OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),"
+    " j AS (SELECT a.blob AS pair, a.p, b.p AS q, length(a.p) // 2 AS wa, length(b.p) // 2 AS wb, h FROM pay a JOIN pay b ON b.convo = a.convo AND b.turn = a.turn + 1, unnest([0, 1]) u(h))"
+    " SELECT pair, 'kv' AS tensor, count(*) AS n_heads, count(*) FILTER (WHERE substring(p, h * wa + 1, least(wa, wb)) = substring(q, h * wb + 1, least(wa, wb))) AS heads_equal FROM j GROUP BY pair"
+)
 def heads_exact(spark, d):
     """Turn against next turn, as two heads of a tensor; one byte a position."""
     p = i.payloads(spark, d)

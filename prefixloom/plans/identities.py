@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..operators import identity, lifecycle, policy, prefix
 from . import inputs as i
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 
 def prints(spark, d):
@@ -250,3 +250,12 @@ def checkpoint_key(spark, d):
 def event_millis(spark, d):
     ms = identity.utc_ms(F.col("ts"))
     return i.table(spark, d, "events").select("event_id", ms.alias("ms"), identity.elapsed_ms(ms, identity.utc_ms(F.col("ts") + F.expr("INTERVAL 90 SECONDS"))).alias("elapsed"))
+
+
+# The key of the documents' checkpoints, registered in the catalogue.
+ORACLE_SQL["blob_key"] = (
+    "WITH t AS (SELECT doc_id, source AS model, CASE WHEN doc_id % 2 = 0 THEN 'KV-KV' ELSE '' END AS layout, doc_id % 3 = 0 AS other, list_transform(string_split(text, ' '), lambda x: length(x)::UBIGINT) AS tokens FROM documents),"
+    " f AS (SELECT *, octet_length(encode(model)) || ':' || model || '3:tok3:f161:11:01:0' || CASE WHEN layout <> '' THEN '5:KV-KV' ELSE '' END AS fields FROM t),"
+    f" w AS (SELECT doc_id, list_concat(CASE WHEN other THEN list_append({_le_words(chr(39) + '9:llama-cpp' + chr(39))}, 4294967295::UBIGINT) ELSE []::UBIGINT[] END, list_append({_le_words('fields')}, 4294967295::UBIGINT), tokens) AS w FROM f)"
+    f" SELECT doc_id, {_HIGH} || {_LOW} AS blob_key, {_HIGH} AS high FROM w"
+)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import adapter, content
 from ..operators import chunks as ch
-from ..operators import forensics, policy, prefix, trace, vectors, workloads
+from ..operators import forensics, gates, layout, policy, prefix, trace, vectors, workloads
 from ..sources import published
 from . import inputs as i
 from .registry import query
@@ -138,6 +139,70 @@ def share_by_name(spark, d):
     return s.select("blob", F.row_number().over(Window.orderBy("blob")).cast("long").alias("place"), "unique_bytes")
 
 
+@query("SELECT blob, (n * 4 + 13)::BIGINT AS bytes, ((n + 63) // 64 + 2)::BIGINT AS chunks, round((n * 4 + 13) / n, 2) AS bytes_per_position, true AS same FROM (SELECT 'c' || conv_id || '-t' || turn AS blob, sum(2 * octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)")
+def round_trips(spark, d):
+    """Payloads cut into blocks of positions and put together again."""
+    return layout.round_trip(head_major(spark, d).select("blob", "payload", "positions", "spans"))
+
+
+_ROLL = f"""{i.CHUNKS}, s AS (SELECT blob, chunk_no, 40 + (chunk_no * 7919 + 13 * turn) % 160 AS size FROM chunks),
+placed AS (SELECT blob, chunk_no, size, 0 AS seg, 0 AS seg_off FROM s WHERE chunk_no = 0 UNION ALL
+  SELECT s.blob, s.chunk_no, s.size, CASE WHEN p.seg_off + p.size + s.size > 600 THEN p.seg + 1 ELSE p.seg END, CASE WHEN p.seg_off + p.size + s.size > 600 THEN 0 ELSE p.seg_off + p.size END FROM placed p JOIN s ON s.blob = p.blob AND s.chunk_no = p.chunk_no + 1)"""
+
+
+def uneven(spark, d):
+    """Chunks of uneven sizes, a gap of five bytes before each."""
+    c = ch.fixed_blocks(i.payloads(spark, d), 256)
+    size = (40 + (F.col("chunk_no") * 7919 + 13 * F.col("turn")) % 160).cast("long")
+    ahead = F.sum("size").over(Window.partitionBy("blob").orderBy("chunk_no"))
+    return c.select("blob", "chunk_no", size.alias("size")).withColumn("end_off", ahead + 5 * (F.col("chunk_no") + 1))
+
+
+@query(f"WITH RECURSIVE {_ROLL} SELECT blob, (sum(size) OVER (PARTITION BY blob ORDER BY chunk_no) - size + 5 * (chunk_no + 1))::BIGINT AS start, size::BIGINT AS size, seg::BIGINT AS seg, seg_off::BIGINT AS seg_off FROM placed")
+def packed_chunks(spark, d):
+    """Chunks in order, packed greedily into segments of 600 bytes."""
+    c = uneven(spark, d)
+    return forensics.materialised(c, c.groupBy("blob").agg(F.max("end_off").alias("payload_len")), 600)[0]
+
+
+@query(f"WITH RECURSIVE {_ROLL}, e AS (SELECT blob, chunk_no, (sum(size) OVER (PARTITION BY blob ORDER BY chunk_no) - size + 5 * (chunk_no + 1))::BIGINT AS start FROM placed) SELECT blob, start - 5 AS gap_start, start AS gap_end FROM e")
+def inline_spans(spark, d):
+    """Bytes between chunks, kept inline."""
+    c = uneven(spark, d)
+    return forensics.materialised(c, c.groupBy("blob").agg(F.max("end_off").alias("payload_len")), None)[1]
+
+
+@query(
+    f"WITH {i.ROUTED}, j AS (SELECT r.request_id, CASE WHEN r.conv_id % 5 = 0 THEN e.tokens[1:1] ELSE e.tokens END AS t, r.tokens AS q, r.turn FROM requests r JOIN entries e ON e.conv_id = r.conv_id AND e.turn = r.turn - 1 + r.conv_id % 3)"
+    " SELECT request_id, CASE WHEN len(t) < 2 OR len(t) > len(q) THEN 'unusable' WHEN t[1:len(t) - 1] <> q[1:len(t) - 1] OR turn % 6 = 5 THEN 'rejected' ELSE 'usable' END AS state FROM j"
+)
+def checkpoint_usability(spark, d):
+    """A restored checkpoint against the request that wants it."""
+    e = i.entries(spark, d).select("conv_id", F.col("turn").alias("at"), F.when(F.col("conv_id") % 5 == 0, F.slice("tokens", 1, 1)).otherwise(F.col("tokens")).alias("t"))
+    r = i.requests(spark, d)
+    j = r.join(e, "conv_id").where(F.col("at") == F.col("turn") - 1 + F.col("conv_id") % 3)
+    return j.select("request_id", gates.usability(F.col("t"), F.col("tokens"), F.when(F.col("turn") % 6 == 5, 0).otherwise(10), F.lit(True)).alias("state"))
+
+
+@query(f"WITH {i.ROUTED} SELECT request_id, n_tokens, 'miss' AS verdict, 0::BIGINT AS prefill_from FROM routed")
+def scratch_decisions(spark, d):
+    return policy.from_scratch(i.requests(spark, d)).select("request_id", "n_tokens", "verdict", "prefill_from")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN (props ->> '$.k')::BIGINT END AS k FROM events")
+def json_fields(spark, d):
+    """A number of each event's properties; every fourth text is cut off."""
+    text = F.when(F.col("event_id") % 4 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    return i.table(spark, d, "events").select("event_id", content.scanned(text, "$.k", "bigint").alias("k"))
+
+
+@query("SELECT conv_id, turn, list_sum(list_transform(string_split(text, ' '), lambda w: length(w)))::BIGINT AS total FROM conversations")
+def adapted_tokens(spark, d):
+    """Token ids by a tokenizer that is brought along: here the lengths of words."""
+    ids = adapter.tokens(lambda text: [len(w) for w in text.split(" ")], F.col("text"))
+    return i.table(spark, d, "conversations").select("conv_id", "turn", F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 # Captures and event lines
 
 _NAMED = "SELECT conv_id AS chain, turn, list('c' || conv_id || '-' || turn // (1 + conv_id % 2)) OVER (PARTITION BY conv_id ORDER BY turn) AS names FROM conversations"
