@@ -19,8 +19,9 @@ below it. Slots decide:
 * main slots are those of ``article`` and ``main``; without such, the innermost layout container that
   holds ``HELD`` of the open weight. All their remaining text is taken, and level-one headings before them.
 
-A page whose main slots hold fixed text only (the same article throughout the host) keeps it. Pages of
-hosts without a template, and pages without their host's main slots, are decided by the same rules over
+Where a main slot holds more fixed than own text over the host's pages, its articles are copies of one
+another, exact or edited: none of its text is fixed. A page whose main slots hold fixed text only keeps it, and first-level
+headings within main slots are kept always. Pages of hosts without a template, and pages without their host's main slots, are decided by the same rules over
 the page's own containers.
 
 Templates are broadcast if all hosts' tokens together are at most ``BROADCAST_TOKENS`` (counted
@@ -286,12 +287,30 @@ def deduced(rows: list[dict], pages: int) -> dict[int, int]:
     if named:
         for t in named:
             roles[t] = MAIN_SLOT
-        return roles
+        return _kept_where_most_is_fixed(roles, known, owner, weight)
     total, at = sum(weight[t] for t in opened[0]), 0
     while inner := [t for t in opened[at] if total and weight[t] >= HELD * total and known[t]["bits"] & IS_LAYOUT]:
         at = max(inner, key=lambda t: (weight[t], t))
     if at:
         roles[at] = MAIN_SLOT
+    return _kept_where_most_is_fixed(roles, known, owner, weight)
+
+
+def _kept_where_most_is_fixed(roles: dict[int, int], known: dict[int, dict], owner: dict[int, int], weight: dict[int, float]) -> dict[int, int]:
+    """Text tokens are no template in a main slot that holds more fixed than own text over the host's pages: its articles are copies of one another."""
+    under: dict[int, list[int]] = defaultdict(list)
+    for t, role in roles.items():
+        if role != FIXED:
+            continue
+        at, steps, main = owner[t], 0, 0
+        while at and steps < 10_000 and roles[at] != LEFT_OUT:
+            main = at if roles[at] == MAIN_SLOT else main
+            at, steps = owner.get(at, 0), steps + 1
+        if main and not at:
+            under[main].append(t)
+    for m, texts in under.items():
+        if sum(known[t]["chars"] for t in texts) > weight[m]:
+            roles |= dict.fromkeys(texts, OPEN)
     return roles
 
 
@@ -324,7 +343,7 @@ def main_text(html: str | None, template: dict[int, int] | None = None) -> str:
         left[i] = (p >= 0 and left[p]) or role[i] == LEFT_OUT or bool(page.bits[i] & IS_ASIDE)
         main[i] = outer or role[i] == MAIN_SLOT or named and bool(page.bits[i] & IS_MAIN)
     first = next((i for i in range(n) if main[i] and not left[i]), n)
-    taken = []
+    taken, titles = [], set()  # a heading of the main text is no notice, though it be the same everywhere
     for c, text, links in page.blocks:
         if c < 0:
             if whole:
@@ -332,9 +351,11 @@ def main_text(html: str | None, template: dict[int, int] | None = None) -> str:
         elif not left[c] and (main[c] or whole or page.bits[c] & IS_TITLE and c < first):
             # Outside of main elements a block of links is a menu even without a slot of its own.
             if named or links < LINKED * len(text):
+                if main[c] and page.bits[c] & IS_TITLE:
+                    titles.add(len(taken))
                 taken.append(text)
-    own_text = [t for t in taken if template.get(_hash("text", t)) != FIXED] if template else taken
-    return " ".join(own_text or taken)
+    own = [template.get(_hash("text", t)) != FIXED for t in taken] if template else [True] * len(taken)
+    return " ".join(t for k, t in enumerate(taken) if own[k] or k in titles or not any(own))
 
 
 _COUNTED = "host string, token long, pages long, vector long, place double, parent long, bits int, chars long, linked long"

@@ -3,6 +3,7 @@
 import pytest
 
 from prefixloom.llm import html_templates as ht
+from prefixloom.llm import queries
 
 SCHEMA = "page_id long, url string, html string"
 # No article, no main, no telling names: only repetition over the host shows what is what.
@@ -74,6 +75,21 @@ def test_article_that_repeats_over_a_host(spark):
     assert {t for _, t in got(spark, rows)} == {"Same The same article everywhere."}
 
 
+def test_edited_copies_of_an_article(spark):
+    """Most paragraphs are on every page, yet they are the article; a short line among articles of their own is a notice."""
+    paragraphs = [f"Paragraph {k} of an article that is copied all over the host." for k in range(9)]
+    page = "<html><body><nav>m {i}</nav><article><h1>Copy</h1>{p}</article></body></html>"
+    rows, want = [], []
+    for i in range(10):
+        own = [*paragraphs[: i % 9], f"Edited paragraph {i}.", *paragraphs[i % 9 + 1 :]] if i else paragraphs
+        rows.append((i, "http://copies/", page.format(i=i, p="".join(f"<p>{x}</p>" for x in own))))
+        want.append((i, " ".join(["Copy", *own])))
+    for i in range(10):
+        rows.append((100 + i, "http://notices/", page.format(i=i, p=f"<p>An article of its own, number {i}, with {i * 7} words and more words.</p><p>Sign up.</p>")))
+        want.append((100 + i, f"Copy An article of its own, number {i}, with {i * 7} words and more words."))
+    assert got(spark, rows) == sorted(want, key=str)
+
+
 def test_odd_tables(spark):
     assert got(spark, []) == []
     long = "<html><body><article>" + "<p>word &amp; word</p>" * 60_000 + "</article></body></html>"
@@ -86,3 +102,17 @@ def test_odd_tables(spark):
 def test_hot_host_and_small_hosts(spark):
     rows = [(i, "http://soup.example/x", soup(i)) for i in range(300)] + [(1000 + i, f"http://s{i}/", f"<body><p>own {i}</p>") for i in range(30)]
     assert got(spark, rows) == sorted([(i, wanted(i)) for i in range(300)] + [(1000 + i, f"own {i}") for i in range(30)], key=str)
+
+
+def test_query_equals_a_plain_reading_of_the_article(spark):
+    import html
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    out = {r.page_id: r for r in queries.op5_main_text(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(out) == len(pages)
+    for p in pages:
+        body = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", p.html, re.S)[1]
+        plain = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?(?:b|a)\b[^>]*>", "", body))).split())
+        assert (out[p.page_id].text, out[p.page_id].n_chars, out[p.page_id].url) == (plain, len(plain), p.url)
