@@ -292,6 +292,14 @@ def top_k_each(codes: DataFrame, queries: DataFrame, d: int, bits: int, k: int,
     return _blockwise(codes.where("packed IS NOT NULL").select(*columns), queries, score, k, block, query_block)
 
 
+def reranked(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score (to 6 decimals): the ``k`` best of ``found`` (query_id, vec_id) by exact dot product; only found vectors are joined back."""
+    j = found.select("query_id", "vec_id").join(vectors.select("vec_id", F.col("embedding").alias("_v")), "vec_id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    score = F.round(dot(F.col("_v"), F.col("_q")), 6)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return j.select("query_id", "vec_id", score.alias("score")).withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 def _blockwise(codes: DataFrame, queries: DataFrame, score: Callable[[pd.DataFrame, np.ndarray], np.ndarray], k: int, block: int, query_block: int) -> DataFrame:
     queries = queries.where("embedding IS NOT NULL")
     n, m = -(-codes.count() // block) or 1, -(-queries.count() // query_block) or 1

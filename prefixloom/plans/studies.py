@@ -254,15 +254,17 @@ def exact(spark, d):
 
 @query()
 def score_recall(spark, d):
-    """Of the twenty exact best of each query: the share among the twenty (and forty) best on 4-bit codes."""
+    """Of the twenty exact best of each query: the share that ``score_topk`` finds, and that the twenty best on codes alone hold."""
     e = i.table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     codes = vectors.encoded(e, "embedding", 64, 4).select("vec_id", "packed", "norm")
-    near = vectors.top_k_each(codes, q, 64, 4, 40)
+    near = vectors.top_k_each(codes, q, 64, 4, 60)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    near = near.withColumn("rank", rank).select("query_id", "vec_id", "rank")
-    j = exact(spark, d).join(near, ["query_id", "vec_id"], "left")
-    return j.groupBy("query_id").agg(F.round(F.count_if(F.col("rank") <= 20) / F.count("*"), 4).alias("recall_20"), F.round(F.count("rank") / F.count("*"), 4).alias("recall_40"))
+    alone = near.withColumn("rank", rank).where("rank <= 20").select("query_id", "vec_id", F.lit(1).alias("alone"))
+    best = vectors.reranked(near, e, q, 20).select("query_id", "vec_id", F.lit(1).alias("found"))
+    j = exact(spark, d).join(best, ["query_id", "vec_id"], "left").join(alone, ["query_id", "vec_id"], "left")
+    share = lambda c: F.round(F.count(c) / F.count("*"), 4)
+    return j.groupBy("query_id").agg(share("found").alias("recall"), share("alone").alias("recall_on_codes"))
 
 
 @query()
