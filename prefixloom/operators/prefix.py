@@ -94,14 +94,17 @@ def matches(requests: DataFrame, entries: DataFrame, semantics: str = "store", f
     e = _ends(one_per_domain(e) if semantics == "daemon" else e).withColumn("_w", F.col("granularity") == 1)
     r = known(requests).select("request_id", *domain, F.size("tokens").alias("_n"), "tokens")
     r = _at_tails(_blocks(r, "tokens"), e, *domain)
-    r = r.withColumns({"_d": _digest(F.slice("_x", 1, F.col("_l") - 1)), "_last": F.element_at("_x", F.col("_l"))}).drop("_x")
-    on = _best(e.withColumn("_c", _digest(F.col("_t"))), *domain, *NODE, "_l", "_c", "_w")
-    off = _best(e.where(~F.col("_w")).withColumn("_d", _digest(F.slice("_t", 1, F.col("_l") - 1))), *domain, *NODE, "_l", "_d")
-    a = r.join(on, [*domain, *NODE, "_l", "_c"]).where(~F.col("_w") | (F.col("_k") == F.col("_n")))
-    # If the best of a key has the request's own last token it is on the path, and wins there.
-    b = r.join(off, [*domain, *NODE, "_l", "_d"]).where(F.col("_e.t") != F.col("_last"))
-    rank = lambda df, path: df.select("request_id", F.struct((-F.col("_k")).alias("m"), F.lit(not path).alias("off"), "_e.u", "_e.t", "_e.name").alias("w"))
-    won = rank(a, True).unionByName(rank(b, False)).groupBy("request_id").agg(F.min("w").alias("w"))
+    # One key for both rules: the whole tail, or the tail but its last token (off the path).
+    key = lambda off, tokens: F.struct(F.lit(off).alias("off"), _digest(tokens).alias("c"))
+    both = lambda tail: F.array(key(False, tail), key(True, F.slice(tail, F.lit(1), F.size(tail) - 1)))
+    tail = F.slice("_x", 1, F.col("_l"))
+    r = r.drop("_c").select("request_id", *domain, *NODE, "_l", "_k", "_n", F.element_at("_x", F.col("_l")).alias("_last"), F.explode_outer(both(tail)).alias("_key"))
+    e = e.withColumn("_key", F.explode_outer(both(F.col("_t")))).where(~F.col("_key.off") | ~F.col("_w"))
+    best = _best(e, *domain, *NODE, "_l", "_key", "_w")
+    # If the best off the path has the request's own last token it is on the path, and wins there.
+    fits = F.when(F.col("_key.off"), F.col("_e.t") != F.col("_last")).otherwise(~F.col("_w") | (F.col("_k") == F.col("_n")))
+    m = r.join(best, [*domain, *NODE, "_l", "_key"]).where(fits)
+    won = m.groupBy("request_id").agg(F.min(F.struct((-F.col("_k")).alias("m"), F.col("_key.off").alias("off"), "_e.u", "_e.t", "_e.name")).alias("w"))
     j = requests.join(won, "request_id", "left")
     return j.withColumns({"entry": F.col("w.name"), "matched_tokens": F.coalesce(-F.col("w.m"), F.lit(0)).cast("long"), "on_path": ~F.col("w.off")}).drop("w")
 
