@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that this process wrote and has not released, oldest first: path, the JVM's path and settings.
+#: Tables that this process wrote and has not released, oldest first: path, the JVM's path and settings, the thread.
 _WRITTEN: dict[str, tuple] = {}
 
 
@@ -34,20 +35,20 @@ def materialised(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN[path] = spark._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+    _WRITTEN[path] = spark._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration(), threading.get_ident()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tables() -> list[str]:
-    """The tables that are there, oldest first."""
-    return list(_WRITTEN)
+    """The tables that this thread wrote and that are there, oldest first; another thread's query may still read its own."""
+    return [path for path, (_, _, thread) in _WRITTEN.items() if thread == threading.get_ident()]
 
 
 def release(paths: Iterable[str] | None = None) -> None:
     """Deletes tables of ``materialised``, or all of them; nothing that reads them may be run afterwards."""
     for path in list(_WRITTEN if paths is None else paths):
         if path in _WRITTEN:
-            target, settings = _WRITTEN.pop(path)
+            target, settings, _ = _WRITTEN.pop(path)
             target.getFileSystem(settings).delete(target, True)
 
 
