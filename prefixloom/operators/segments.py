@@ -88,8 +88,8 @@ def collected(records: DataFrame, live: DataFrame, active: int | None) -> tuple[
 def compacted(records: DataFrame, live: DataFrame, active: int | None, config: CompactConfig = CompactConfig()) -> tuple[DataFrame, DataFrame]:
     """``records`` with the worst segments rewritten, and a receipt per segment: seg, new_seg, moved, reclaimed.
 
-    A rewritten segment's live records move to a new segment, packed in order of their offsets; its dead records and
-    lost copies leave. New segments are numbered from after the last, worst first.
+    A rewritten segment's live records move to a new segment, packed in order of their offsets (at the same offset, of
+    digests); its dead records and lost copies leave. New segments are numbered from after the last, worst first.
     """
     stats = chunks.segment_stats(records, live)
     plan = chunks.compaction_plan(stats, -1 if active is None else active, config.ratio, config.min_dead_bytes, config.max_segments if config.enabled else 0)
@@ -97,7 +97,7 @@ def compacted(records: DataFrame, live: DataFrame, active: int | None, config: C
     # The plan is a top-k of at most max_segments rows: one window is enough.
     plan = plan.select("seg", "total", (last + F.row_number().over(Window.orderBy(F.desc("dead"), "seg"))).cast("long").alias("new_seg"))
     moving = chunks.placements(records).where("placed").drop("placed").join(live.select("digest").distinct(), "digest", "left_semi").join(plan, "seg")
-    ahead = F.sum(F.col("body_len") + RECORD_HEADER).over(Window.partitionBy("seg").orderBy("rec_off").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.sum(F.col("body_len") + RECORD_HEADER).over(Window.partitionBy("seg").orderBy("rec_off", "digest").rowsBetween(Window.unboundedPreceding, -1))
     moved = moving.withColumn("_off", (F.coalesce(ahead, F.lit(0)) + SEGMENT_HEADER).cast("long"))
     kept = records.join(plan.select("seg"), "seg", "left_anti").select(*records.columns)
     new = moved.withColumns({"rec_off": F.col("_off"), "seg": F.col("new_seg")}).select(*records.columns)

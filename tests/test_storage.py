@@ -105,6 +105,15 @@ def test_sweep(spark):
     assert none.count() == 0 and off.count() == 6
 
 
+def test_compaction_orders_records_at_one_offset(spark):
+    rows = [(1, 50, 10, "c"), (1, 50, 7, "a"), (1, 50, 9, "d"), (1, 50, 8, "b"), (1, 10, 5, "z"), (1, 5, 5, "dead")]
+    live = spark.createDataFrame([(x,) for x in "abcdz"], "digest string")
+    config = segments.CompactConfig(ratio=0.1, min_dead_bytes=1, max_segments=1)
+    for given in (rows, rows[::-1]):
+        after = segments.compacted(spark.createDataFrame(given, "seg long, rec_off long, body_len long, digest string"), live, None, config)[0]
+        assert sorted(map(tuple, after.collect())) == [(2, 8, 5, "z"), (2, 49, 7, "a"), (2, 92, 8, "b"), (2, 136, 10, "c"), (2, 182, 9, "d")]
+
+
 def test_staging_fills_segments(spark):
     old = spark.createDataFrame([("a", 10)], "digest string, body_len long")
     new = spark.createDataFrame([(f"n{i:02}", 64) for i in range(20)] * 2 + [("a", 10)], "digest string, body_len long")
