@@ -100,11 +100,17 @@ def medians(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.median(value).alias("median"), F.round(F.avg(value), 1).alias("mean"), F.count(value).alias("n"))
 
 
+def steady_mean(value: Column) -> Column:
+    """The mean of doubles, the same in any order of rows: summed and divided as decimals; in floating point only where a value or the sum is none (NaN, 1e26)."""
+    d = value.try_cast("decimal(38,12)")
+    return F.coalesce(F.when(F.count(d) == F.count(value), F.try_avg(d).cast("double")), F.avg(value))
+
+
 def leg_latencies(samples: DataFrame, *keys: str) -> DataFrame:
     """By leg: latencies of samples (ttft_ms, tpot_ms) by rank, the mean, the 95th percentile only of 100 samples and more."""
     t = pct_round(samples, "ttft_ms", list(keys), {"ttft_p50_ms": 0.5, "ttft_p95_ms": 0.95})
     p = pct_round(samples, "tpot_ms", list(keys), {"tpot_p50_ms": 0.5}).drop("n")
-    mean = samples.groupBy(*keys).agg(F.round(F.avg("ttft_ms"), 1).alias("ttft_mean_ms"))
+    mean = samples.groupBy(*keys).agg(F.round(steady_mean(F.col("ttft_ms")), 1).alias("ttft_mean_ms"))
     j = t.withColumn("ttft_p95_ms", suppressed(F.col("ttft_p95_ms"), F.col("n"))).join(p, list(keys), "left").join(mean, list(keys))
     return j
 

@@ -1,6 +1,8 @@
 """Published versions, captures, event lines, reports, workloads, vector frames, streams and SQL functions."""
 
+import itertools
 import json
+import math
 
 import numpy as np
 import pytest
@@ -249,6 +251,19 @@ def test_first_token_stream(spark, tmp_path):
     assert {r.request: r.ttft_ms for r in trace.first_token(df, "request", "ts", "kind").collect()} == {"a": 250, "b": None}
 
 
+def test_leg_means_in_any_order(spark):
+    """The mean is 55.05 exactly; in floating point some orders sum to less, and round to 55.0."""
+    orders = list(itertools.permutations([68.72, 56.28, 90.68, 18.46, 41.11]))
+    assert {round(sum(o) / 5, 12) for o in orders} == {55.05} and len({math.fsum(o) / 5 for o in orders}) == 1
+    df = spark.createDataFrame([(i, v, v) for i, o in enumerate(orders) for v in o], "leg long, ttft_ms double, tpot_ms double").coalesce(1)
+    assert {r.ttft_mean_ms for r in trace.leg_latencies(df, "leg").collect()} == {55.1}
+    whole = spark.createDataFrame([("a", 22728.1, 1.0)] + [("a", 1.0, 1.0)] * 425, "leg string, ttft_ms double, tpot_ms double")  # 23153.1 / 426 is less than 54.35 in floating point
+    assert 23153.1 / 426 < 54.35 and trace.leg_latencies(whole, "leg").first().ttft_mean_ms == 54.4
+    odd = [("nan", 1.0), ("nan", float("nan")), ("inf", float("inf")), ("big", 1e300), ("big", 3e300), ("null", 2.0), ("null", None), ("none", None)]
+    means = {r.leg: r.m for r in spark.createDataFrame(odd, "leg string, v double").groupBy("leg").agg(trace.steady_mean(F.col("v")).alias("m")).collect()}
+    assert math.isnan(means.pop("nan")) and means == {"inf": float("inf"), "big": 2e300, "null": 2.0, "none": None}
+
+
 def test_headers_and_stores(spark):
     fp = {"model_id": "m", "tokenizer_hash": "t", "kv_dtype": "f16", "kv_layout_version": 1}
     head = {"fingerprint": fp, "token_count": 2, "tokens": [1, 2], "format_version": 2, "payload_sha256": "00"}
