@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunks as ch
@@ -92,14 +95,12 @@ _CONFIGS = " UNION ALL ".join(
     " SELECT config, convo, max(turns) AS turns, round(sum(new_bytes) FILTER (WHERE turn > t) / sum(payload_bytes) FILTER (WHERE turn > t), 4) AS mean_new_frac, sum(new_bytes)::BIGINT AS unique_bytes FROM per JOIN t USING (config, convo) WHERE turns >= 2 GROUP BY config, convo"
 )
 def chunker_grid(spark, d):
-    """Chunkers and scopes beside each other, by conversation."""
+    """Chunkers and scopes beside each other, by conversation: the chunks of all go through one plan, which the driver holds once."""
     blobs = head_major(spark, d)
     made = {"token-block/64": layout.token_blocks(blobs)} | {f"fixed/{s}/{n}": layout.scoped(blobs, s, blocks_of(n)) for s in ("head", "tensor", "file") for n in (256, 1024)}
-    out = None
-    for name, c in made.items():
-        rows = ch.mean_new_frac(ch.new_bytes_per_turn(c)).withColumn("config", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = [c.select(F.lit(name).alias("config"), "convo", "turn", F.unhex("digest").alias("digest"), "size") for name, c in made.items()]
+    by = ("config", "convo")
+    return ch.mean_new_frac(ch.new_bytes_per_turn(reduce(DataFrame.unionByName, rows), by), by)
 
 
 @query()

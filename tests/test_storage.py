@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefixloom.operators import chunks, layout, segments
+from prefixloom.plans import storage
 
+SF = "/root/testdata/sf0.001"
 BLOBS = "blob string, payload binary, positions long, spans array<struct<tensor:string,begin:bigint,end:bigint,n_heads:bigint>>"
 
 
@@ -105,6 +107,21 @@ def test_sweep(spark):
     assert none.count() == 0 and off.count() == 6
 
 
+def test_chunker_grid_sends_its_chunks_once(spark):
+    """Seven plans side by side, each with its joins, took over the driver's memory."""
+    plan = storage.chunker_grid(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Window ") <= 9
+
+
+def test_growth_by_several_keys(spark):
+    rows = [("x", 1, 0, "a", 5), ("x", 1, 0, "a", 5), ("x", 1, 1, "a", 5), ("x", 1, 1, "b", 3), ("y", 1, 0, "b", 3), ("y", 1, 1, "b", 3), ("y", 2, 0, "a", 5), ("y", None, 0, "a", 5), ("y", 2, 1, None, 9)]
+    df = spark.createDataFrame(rows, "config string, convo long, turn long, digest string, size long")
+    by = ("config", "convo")
+    per = chunks.new_bytes_per_turn(df, by)
+    assert sorted(tuple(r) for r in per.collect()) == [("x", 1, 0, 10, 10, 1.0), ("x", 1, 1, 3, 8, 0.375), ("y", 1, 0, 3, 3, 1.0), ("y", 1, 1, 0, 3, 0.0), ("y", 2, 0, 5, 5, 1.0)]
+    assert sorted(tuple(r) for r in chunks.mean_new_frac(per, by).collect()) == [("x", 1, 2, 0.375, 13), ("y", 1, 2, 0.0, 3)]
+
+
 def test_compaction_orders_records_at_one_offset(spark):
     rows = [(1, 50, 10, "c"), (1, 50, 7, "a"), (1, 50, 9, "d"), (1, 50, 8, "b"), (1, 10, 5, "z"), (1, 5, 5, "dead")]
     live = spark.createDataFrame([(x,) for x in "abcdz"], "digest string")
