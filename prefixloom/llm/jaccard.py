@@ -1,13 +1,16 @@
 """Near copies by Jaccard similarity of word shingles, for the pipeline's near-dedup stage.
 
 Two texts are linked if the sets of their ``SHINGLE``-word shingles (words as in ``simhash``, shingles as
-XXH64) have a Jaccard similarity of ``SIMILARITY`` or more; links form components. A SimHash radius that
-covers this similarity is near 18 of 64 bits, where its bands are 3 bits wide and shards nothing, so
-candidates come from MinHash: texts that agree in all ``ROWS`` minima of one of ``BANDS`` bands. A pair at
-0.8 has such a band with probability 1 - (1 - 0.8 ** 5) ** 25 = 0.99995. Every pair of different sets in
-a bucket is then compared in full, unless links already join it.
-
-Texts with the same set are one node, named by 128 bits of its hash. Only sets that share a bucket are sent, and a bucket of more than
+XXH64) have a Jaccard similarity of ``SIMILARITY`` or more; links form components. Candidates come by
+operator 1's method: SimHash prints, shards by bands of their bits, BK-trees, links within a radius,
+components. At this similarity a bit differs in 15 % of cases (``RATES``), which no radius of 64 bits
+tells from chance, so prints are wider: the ``NAMED`` first words are searched, within ``RADIUS`` bits
+(a pair at 0.8 lies farther apart in under 5 of 100,000 cases, unrelated ones nearer in 2 of 10 ** 8), and
+bands are dealt from as many bits as they need. Bands widen with the table, so that one value holds some
+``LOAD`` texts, and their number is such that a pair at 0.8 shares none in ``MISSED`` of cases at most.
+All pairs of different sets in a component of candidates are then compared in full, unless links already join them.
+
+Texts with the same set are one node, named by 128 bits of its hash. Only sets with candidates are sent, and a component of more than
 ``PART`` sets is cut into parts, each pair of parts a unit of its own.
 
 Defined results: a text of under ``SHINGLE`` words is one shingle; null, empty and blank texts are copies
@@ -16,27 +19,32 @@ of one another; very long texts are read whole; repeated rows each give a row; a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from . import simhash
 from .common import written
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
+#: Of sets up to this many shingles, the share of bits that differ in a pair at the similarity, at most: counted for every split into common and own shingles (ties weigh in small sets).
+RATES = ((5, 0.1875), (30, 0.1612), (math.inf, 0.156))
+MISSED = 5e-5
+LOAD = 64
+#: Words of a print that the BK-trees hold, and the radius in their bits.
+NAMED, RADIUS = 3, 58
 PART = 500
 SEED = 42
-SIGNED = StructType([StructField("node", BinaryType()), StructField("bands", ArrayType(LongType()))])
-_PIECE = 1 << 11
-_ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+SIGNED = StructType([StructField("node", BinaryType()), StructField("fp", BinaryType()), StructField("bands", ArrayType(IntegerType()))])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -48,20 +56,34 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)], np.uint64))
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """Keys of the set's buckets, signed."""
-    if not len(own):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), _PIECE):
-        least = np.minimum(least, (own[at : at + _PIECE, None] * _ODD + _ADD).min(0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+def width(n: int) -> int:
+    """Bits of a band for a table of ``n`` rows."""
+    return min(30, max(4, math.ceil(math.log2(max(n, 1) / LOAD))))
+
+
+def number(size: int, width: int) -> int:
+    """Bands of ``width`` bits that a set of ``size`` shingles is dealt by; no set of one shingle to three has a near one."""
+    if size < 4:
+        return 0
+    rate = next(r for most, r in RATES if size <= most)
+    return math.ceil(math.log(MISSED) / math.log1p(-((1 - rate) ** width)))
+
+
+def signed(own: np.ndarray, width: int) -> tuple[bytes, np.ndarray]:
+    """The first words of the set's print, and its bands' values in order of the bands."""
+    bands = number(len(own), width)
+    bits = simhash.wide(own, max(NAMED, -(-bands * width // 64)))
+    return np.packbits(bits[: 64 * NAMED], bitorder="little").tobytes(), bits[: bands * width].reshape(bands, width) @ (1 << np.arange(width, dtype=np.int32))
+
 
+def _signed(width: int) -> Callable[[str], Column]:
+    @pandas_udf(SIGNED)
+    def made(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        prints = [signed(s, width) for s in sets]
+        return pd.DataFrame({"node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "fp": [p for p, _ in prints], "bands": [b for _, b in prints]})
 
-@pandas_udf(SIGNED)
-def _signed(texts: pd.Series) -> pd.DataFrame:
-    sets = [shingles(t) for t in texts]
-    return pd.DataFrame({"node": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]})
+    return made
 
 
 @pandas_udf(BinaryType())
@@ -117,16 +139,20 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def near_copies(docs: DataFrame, key: str, part: int = PART) -> DataFrame:
     """doc_id, ``key`` and root (binary, the same in all of a group of near copies) of every row of ``docs`` (doc_id, text, ``key``); ``key`` tells texts apart."""
-    signed = written(docs.select("doc_id", key, _signed("text").alias("s")).select("doc_id", key, "s.node", "s.bands"))
-    places = signed.select("node", F.explode("bands").alias("band")).distinct()
-    shared = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    places = written(places.join(shared, "band"))
-    texts = places.select("node").distinct().join(signed.groupBy("node").agg(F.min(key).alias(key)), "node")
-    sets = written(docs.select(key, "text").join(texts, key).dropDuplicates(["node"]).select("node", _packed("text").alias("own")))
+    bits = width(docs.count())
+    made = written(docs.select("doc_id", key, _signed(bits)("text").alias("s")).select("doc_id", key, "s.*"))
+    shards = made.select("node", "fp", "bands").dropDuplicates(["node"]).select("fp", F.posexplode("bands").alias("band", "value"))
+    shards = shards.select("fp", F.shiftleft(F.col("band").cast("long"), bits).bitwiseOR(F.col("value").cast("long")).alias("shard"))
+    near = components(simhash.searched(shards, RADIUS))
+    kinds = made.groupBy("node").agg(F.min(key).alias(key), F.min("fp").alias("fp"))
+    kinds = written(kinds.join(near.select(F.col("node").alias("_fp"), F.col("root").alias("band")), F.col("fp") == F.col("_fp"), "left").select("node", key, F.coalesce("band", "fp").alias("band")))
+    shared = kinds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    places = written(kinds.join(shared, "band"))
+    sets = written(docs.select(key, "text").join(places.select("node", key), key).dropDuplicates(["node"]).select("node", _packed("text").alias("own")))
     parts = F.ceil(F.col("n") / part).cast("long")
     places = places.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("a"), F.greatest("part", q).alias("b")))
     rows = places.select("node", "band", "part", F.explode(units).alias("u")).select("node", "band", "u.a", "u.b", "part").join(sets, "node")
     found = rows.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b").mapInPandas(_compared, "u binary, v binary")
     roots = components(found)
-    return signed.join(roots, signed["node"] == roots["node"], "left").select("doc_id", key, F.coalesce("root", signed["node"]).alias("root"))
+    return made.join(roots, made["node"] == roots["node"], "left").select("doc_id", key, F.coalesce("root", made["node"]).alias("root"))

@@ -17,6 +17,9 @@ doesn't share (of these, too, one band at least is equal within the radius), up
 rows for one, however large the shard is, and links come out the same. At 10 ** 10 fingerprints the
 first bands hold some 150,000 each and the second some 40.
 
+Wider prints, for a larger radius, are arrays of words (binary in a table): ``wide`` makes their bits and
+``searched`` links what is dealt into shards by the caller (``jaccard``, the pipeline's stage).
+
 Defined results: null, empty and blank texts have fingerprint 0 and are linked like others; a null
 doc_id is skipped as a component's id (a component of null ids alone has a null id); very long texts are
 read whole, in pieces; repeated rows each give a row; an empty table gives an empty result; other columns
@@ -46,6 +49,8 @@ LEVELS = 3
 #: Pairs of a search held at once.
 FRONTIER = 1 << 20
 _PIECE = 1 << 15
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -67,6 +72,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def wide(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Bits of a print of ``words`` times 64 bits, by majority as in ``fingerprint``; of a hash, the first word is itself and others are mixed from it."""
+    ones, step = np.zeros(64 * words, np.int64), _STEP * np.arange(words, dtype=np.uint64)
+    for at in range(0, len(hashes), 255):  # sums stay within a byte
+        h = hashes[at : at + 255, None] + step
+        h[:, 1:] = _mixed(h[:, 1:])
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return 2 * ones > len(hashes)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for shift, factor in _MIX:
+        h = (h ^ (h >> shift)) * factor
+    return h ^ (h >> np.uint64(31))
+
+
 @pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
@@ -76,12 +97,20 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; prints of several words are rows."""
+    if a.ndim == 1:
+        return np.bitwise_count(a ^ b).astype(np.int64)
+    return sum(np.bitwise_count(a[:, i] ^ b[:, i]).astype(np.int64) for i in range(a.shape[1]))
+
+
 class Forest:
     """BK-trees over the fingerprints of several shards: ``shard`` and ``fp`` sorted by shard, none twice in a shard."""
 
     def __init__(self, shard: np.ndarray, fp: np.ndarray, radius: int):
         n = len(fp)
-        self.fp, self.radius = fp, radius
+        self.fp, self.radius, self.bits = fp, radius, 64 * (fp.shape[1] if fp.ndim > 1 else 1)
+        base = self.bits + 1
         first = np.ones(n, bool)
         first[1:] = shard[1:] != shard[:-1]
         self.roots = np.flatnonzero(first)
@@ -89,14 +118,17 @@ class Forest:
         parent, edge = np.full(n, -1), np.zeros(n, np.int64)
         active, at, levels = np.flatnonzero(~first), self.root_of[~first], []
         while len(active):
-            d = np.bitwise_count(fp[active] ^ fp[at]).astype(np.int64)
-            _, chosen, which = np.unique(at * 65 + d, return_index=True, return_inverse=True)
+            d = _apart(fp[active], fp[at])
+            _, chosen, which = np.unique(at * base + d, return_index=True, return_inverse=True)
             new = active[chosen]
             parent[new], edge[new] = at[chosen], d[chosen]
             levels.append(new)
             rest = np.ones(len(active), bool)
             rest[chosen] = False
             active, at = active[rest], new[which[rest]]
+        #: A child comes after its parent.
+        self.rank = np.zeros(n, np.int64)
+        self.rank[np.concatenate([self.roots, *levels])] = np.arange(n)
         self.comp = np.arange(n)
         for lv in levels:
             near = lv[edge[lv] <= radius]
@@ -107,16 +139,19 @@ class Forest:
             other = lv[self.one[lv] != self.comp[parent[lv]]]
             self.one[parent[other]] = -1
         below = np.flatnonzero(parent >= 0)
-        key = parent[below] * 65 + edge[below]
+        key = parent[below] * base + edge[below]
         order = np.argsort(key, kind="stable")
         self.keys, self.children = key[order], below[order]
+        self.inner = np.zeros(n, bool)
+        self.inner[parent[below]] = True
         linked = below[edge[below] <= radius]
         self.links = fp[linked], fp[parent[linked]]
 
-    def search(self, fp: np.ndarray, root: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links of ``fp``, each from its ``root``, to nodes outside ``comp``, one for each component found."""
-        found_q, found_n = [], []
-        stack = [(np.arange(len(fp)), root)]
+    def search(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links of every node to nodes of a lower rank in other components, one for each pair of components found."""
+        fp, comp = self.fp, self.comp
+        found_q, found_n, base = [], [], self.bits + 1
+        stack = [(np.arange(len(fp)), self.root_of)]
         while stack:
             q, node = stack.pop()
             if len(q) > FRONTIER:
@@ -125,39 +160,48 @@ class Forest:
                 continue
             if not len(q):
                 continue
-            d = np.bitwise_count(fp[q] ^ self.fp[node]).astype(np.int64)
-            hit = (d <= self.radius) & (d > 0) & (self.comp[node] != comp[q])
+            d = _apart(fp[q], fp[node])
+            hit = (d <= self.radius) & (d > 0) & (comp[node] != comp[q])
             if hit.any():
                 found_q.append(q[hit])
                 found_n.append(node[hit])
-            lo = np.searchsorted(self.keys, node * 65 + np.maximum(d - self.radius, 1))
-            count = np.searchsorted(self.keys, node * 65 + np.minimum(d + self.radius, 64), "right") - lo
+            inner = self.inner[node]
+            q, node, d = q[inner], node[inner], d[inner]
+            lo = np.searchsorted(self.keys, node * base + np.maximum(d - self.radius, 1))
+            count = np.searchsorted(self.keys, node * base + np.minimum(d + self.radius, self.bits), "right") - lo
             q = np.repeat(q, count)
             node = self.children[np.arange(len(q)) + np.repeat(lo - (np.cumsum(count) - count), count)]
-            go = self.one[node] != comp[q]
+            go = (self.one[node] != comp[q]) & (self.rank[node] < self.rank[q])
             stack.append((q[go], node[go]))
         if not found_q:
             return fp[:0], fp[:0]
         q, node = np.concatenate(found_q), np.concatenate(found_n)
-        _, keep = np.unique(np.stack([comp[q], self.comp[node]], 1), axis=0, return_index=True)
-        return fp[q[keep]], self.fp[node[keep]]
+        _, keep = np.unique(np.stack([comp[q], comp[node]], 1), axis=0, return_index=True)
+        return fp[q[keep]], fp[node[keep]]
 
 
 def _searched(shard: np.ndarray, fp: np.ndarray, radius: int) -> pd.DataFrame:
-    """Links in whole shards, sorted by shard."""
+    """Links in whole shards, sorted by shard; wide prints may be repeated side by side."""
+    if fp.ndim > 1:
+        new = np.ones(len(fp), bool)
+        new[1:] = (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1]).any(1)
+        shard, fp = shard[new], fp[new]
     forest = Forest(shard, fp, radius)
-    parts = forest.links, forest.search(forest.fp, forest.root_of, forest.comp)
-    u, v = (np.concatenate(x).view(np.int64) for x in zip(*parts))
-    return pd.DataFrame({"u": u, "v": v})
+    parts = forest.links, forest.search()
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    if fp.ndim > 1:
+        return pd.DataFrame({"u": [x.tobytes() for x in u], "v": [x.tobytes() for x in v]}, dtype=object)
+    return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
 
 def _search_sorted(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     """Rows (shard, fp), sorted by shard; holds a batch and one shard: what there is of the last shard waits for the next batch."""
     shards, fps = [], []
     for batch in batches:
-        shard, fp = batch["shard"].to_numpy(), batch["fp"].to_numpy().view(np.uint64)
-        if not len(shard):
+        if not len(batch):
             continue
+        shard, fp = batch["shard"].to_numpy(), batch["fp"]
+        fp = fp.to_numpy().view(np.uint64) if fp.dtype != object else np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1)
         last = np.searchsorted(shard, shard[-1])
         if last or shards and shards[-1][-1] != shard[0]:
             yield _searched(np.concatenate([*shards, shard[:last]]), np.concatenate([*fps, fp[:last]]), radius)
@@ -201,7 +245,14 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
         rows = rows.join(large, F.col("shard") == F.col("_large"), "left_semi")
     rows = rows.select("shard", "fp")
     rows = rows if ready is None else ready.unionByName(rows)
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(lambda batches: _search_sorted(batches, radius), "u long, v long")
+    return searched(rows, radius)
+
+
+def searched(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (u, v) of the prints in each shard of ``rows`` (shard, fp): fp long, or binary if wide; a wide one may be repeated in its shard."""
+    kind = rows.schema["fp"].dataType.simpleString().replace("bigint", "long")
+    order = ["shard"] if kind == "long" else ["shard", "fp"]
+    return rows.repartition("shard").sortWithinPartitions(*order).mapInPandas(lambda batches: _search_sorted(batches, radius), f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (), radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
