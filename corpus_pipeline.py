@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixloom.functions import tables
-from prefixloom.llm import decontaminate, jaccard, language_id, mixing, pii
+from prefixloom.llm import decontaminate, jaccard, keyset, language_id, mixing, pii
 from prefixloom.llm.common import others, read, written
 
 ORACLE_SQL = None
@@ -58,8 +58,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = _name(docs)
     groups = jaccard.near_copies(docs.select("doc_id", "text", _key().alias(key)), key)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", key)).alias("m"))
-    kept = first.select(F.col(f"m.{key}").alias(key))
-    return docs.withColumn(key, _key()).join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    kept = first.select(F.col(f"m.{key}").alias(key), F.lit(True).alias("stays"))
+    # Keys of rows that go, and of repeated rows; all other rows stay without a shuffle.
+    told = groups.groupBy(key).agg(F.count("*").alias("n")).join(kept, key, "left")
+    told = written(told.where("n > 1 or not coalesce(stays, false)").select(key, F.coalesce("stays", F.lit(False)).alias("stays")))
+    rows, keys = docs.withColumn(key, _key()), keyset.Keys(told, key)
+    first = keys.within(rows).join(told.where("not stays").select(key), key, "left_anti").dropDuplicates([key])
+    return keys.without(rows).unionByName(first).drop(key)
 
 
 def clear_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

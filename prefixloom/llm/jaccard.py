@@ -10,8 +10,8 @@ bands are dealt from as many bits as they need. Bands widen with the table, so t
 ``LOAD`` texts, and their number is such that a pair at 0.8 shares none in ``MISSED`` of cases at most.
 All pairs of different sets in a component of candidates are then compared in full, unless links already join them.
 
-Texts with the same set are one node, named by 128 bits of its hash. Only sets with candidates are sent, and a component of more than
-``PART`` sets is cut into parts, each pair of parts a unit of its own.
+Texts with the same set are one node, named by 128 bits of its hash. Only sets with candidates are sent (a bitmap of their keys turns
+other texts away before the shuffle, ``keyset``), and a component of more than ``PART`` sets is cut into parts, each pair of parts a unit of its own.
 
 Defined results: a text of under ``SHINGLE`` words is one shingle; null, empty and blank texts are copies
 of one another; very long texts are read whole; repeated rows each give a row; an empty table gives an empty result.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from . import simhash
+from . import keyset, simhash
 from .common import written
 from .components import components
 
@@ -147,12 +147,12 @@ def near_copies(docs: DataFrame, key: str, part: int = PART) -> DataFrame:
     kinds = made.groupBy("node").agg(F.min(key).alias(key), F.min("fp").alias("fp"))
     kinds = written(kinds.join(near.select(F.col("node").alias("_fp"), F.col("root").alias("band")), F.col("fp") == F.col("_fp"), "left").select("node", key, F.coalesce("band", "fp").alias("band")))
     shared = kinds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    places = written(kinds.join(shared, "band"))
-    sets = written(docs.select(key, "text").join(places.select("node", key), key).dropDuplicates(["node"]).select("node", _packed("text").alias("own")))
     parts = F.ceil(F.col("n") / part).cast("long")
-    places = places.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    places = written(kinds.join(shared, "band").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("n"))
+    texts = keyset.Keys(places, key).within(docs.select(key, "text")).join(places, key).dropDuplicates([key])
+    sets = texts.select("node", "band", "part", "parts", _packed("text").alias("own"))
     units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("a"), F.greatest("part", q).alias("b")))
-    rows = places.select("node", "band", "part", F.explode(units).alias("u")).select("node", "band", "u.a", "u.b", "part").join(sets, "node")
+    rows = sets.select("node", "band", "part", "own", F.explode(units).alias("u")).select("node", "band", "u.a", "u.b", "part", "own")
     found = rows.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b").mapInPandas(_compared, "u binary, v binary")
     roots = components(found)
     return made.join(roots, made["node"] == roots["node"], "left").select("doc_id", key, F.coalesce("root", made["node"]).alias("root"))

@@ -8,8 +8,8 @@ of RADIUS + 1 bands of bits at least one is equal in any two fingerprints within
 shard is a band and its value. Each shard has a BK-tree (children keyed by integer Hamming distance
 to the parent), and a search follows only edges within the radius of the distance at hand. Trees of
 many shards are built and searched at once as arrays. A tree edge within the radius is itself a link;
-subtrees that such edges already join to the searching node are left out, so a dense group of near
-copies costs no quadratic work.
+subtrees that such edges, or links found since, already join to the searching node are left out, so a dense
+group of near copies costs no quadratic work. A shard gives a forest of links, fewer than its nodes.
 
 The trees are not broadcast: together they hold every fingerprint, which has no proven bound. They go
 to tasks by shuffle. A shard of more than ``SHARD`` fingerprints is dealt again by bands of the bits that it
@@ -148,8 +148,8 @@ class Forest:
         self.links = fp[linked], fp[parent[linked]]
 
     def search(self) -> tuple[np.ndarray, np.ndarray]:
-        """Links of every node to nodes of a lower rank in other components, one for each pair of components found."""
-        fp, comp = self.fp, self.comp
+        """Links of every node to nodes of a lower rank, those that join components: fewer than there are nodes, however many pairs are near."""
+        fp, comp, one = self.fp, self.comp, self.one
         found_q, found_n, base = [], [], self.bits + 1
         stack = [(np.arange(len(fp)), self.root_of)]
         while stack:
@@ -161,23 +161,42 @@ class Forest:
             if not len(q):
                 continue
             d = _apart(fp[q], fp[node])
-            hit = (d <= self.radius) & (d > 0) & (comp[node] != comp[q])
-            if hit.any():
-                found_q.append(q[hit])
-                found_n.append(node[hit])
+            hit = np.flatnonzero((d <= self.radius) & (d > 0) & (comp[node] != comp[q]))
+            if len(hit):
+                kept, label = _spanning(comp[q[hit]], comp[node[hit]], len(fp))
+                found_q.append(q[hit[kept]])
+                found_n.append(node[hit[kept]])
+                comp, one = label[comp], np.where(one < 0, one, label[one])
             inner = self.inner[node]
             q, node, d = q[inner], node[inner], d[inner]
             lo = np.searchsorted(self.keys, node * base + np.maximum(d - self.radius, 1))
             count = np.searchsorted(self.keys, node * base + np.minimum(d + self.radius, self.bits), "right") - lo
             q = np.repeat(q, count)
             node = self.children[np.arange(len(q)) + np.repeat(lo - (np.cumsum(count) - count), count)]
-            go = (self.one[node] != comp[q]) & (self.rank[node] < self.rank[q])
+            go = (one[node] != comp[q]) & (self.rank[node] < self.rank[q])
             stack.append((q[go], node[go]))
         if not found_q:
             return fp[:0], fp[:0]
-        q, node = np.concatenate(found_q), np.concatenate(found_n)
-        _, keep = np.unique(np.stack([comp[q], comp[node]], 1), axis=0, return_index=True)
-        return fp[q[keep]], fp[node[keep]]
+        return fp[np.concatenate(found_q)], fp[np.concatenate(found_n)]
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between labels below ``n``, the indexes of a spanning forest; the label that each label gets."""
+    label, at, kept = np.arange(n), np.arange(len(a)), []
+    while len(at):
+        x, y = label[a[at]], label[b[at]]
+        at, x, y = at[x != y], x[x != y], y[x != y]
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((low, high))
+        top, first = np.unique(high[order], return_index=True)
+        first = order[first]
+        kept.append(at[first])
+        lower = np.arange(n)  # links go down only, so they make no circle
+        lower[top] = low[first]
+        while not np.array_equal(deeper := lower[lower], lower):
+            lower = deeper
+        label = lower[label]
+    return np.concatenate(kept) if kept else at, label
 
 
 def _searched(shard: np.ndarray, fp: np.ndarray, radius: int) -> pd.DataFrame:

@@ -144,3 +144,27 @@ def test_carried_columns(spark):
     assert simhash.near_duplicates(docs, carry=("n",)).first().n == 7
     with pytest.raises(ValueError, match="carry"):
         simhash.near_duplicates(docs.withColumnRenamed("n", "Root"), carry=("Root",))
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_a_shard_gives_a_forest_of_links(words):
+    """A group whose prints are mostly linked beside the tree, not by its edges: fewer links than prints, and they join all that are near."""
+    rng = np.random.default_rng(8)
+    noise = np.packbits(rng.random((300, words * 64)) < 0.17, axis=1, bitorder="little").view(np.uint64)
+    fp = np.unique(rng.integers(0, 1 << 63, (1, words), np.uint64) ^ noise, axis=0)
+    fp = fp if words > 1 else fp[:, 0]
+    radius = 20 * words - 2
+    links = simhash._searched(np.zeros(len(fp), np.int64), fp, radius)
+    names = {(x.tobytes() if words > 1 else x.view(np.int64)): i for i, x in enumerate(fp)}
+    near = [(i, j) for i in range(len(fp)) for j in range(i) if simhash._apart(fp[i : i + 1], fp[j : j + 1])[0] <= radius]
+
+    def joined(pairs):
+        root = list(range(len(fp)))
+        for i, j in pairs:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    got = [(names[u], names[v]) for u, v in zip(links["u"], links["v"])]
+    assert joined(got) == joined(near) and len(near) > 10 * len(fp)
+    assert len(got) == len(fp) - len(set(joined(near)))
