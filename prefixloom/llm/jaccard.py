@@ -92,25 +92,28 @@ def _packed(texts: pd.Series) -> pd.Series:
 
 
 def linked(sets: list[np.ndarray], part: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links enough to join all similar ones of ``sets``; with ``part``, only pairs of different parts are compared."""
+    """Links enough to join all similar ones of ``sets``; with ``part``, those between parts that join what links within the parts don't."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     words, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(size) - size
-    comp, found, here = np.arange(n), [], np.zeros(len(words), np.int64)
+    pairs, here = [np.zeros((2, 0), np.int64)], np.zeros(len(words), np.int64)
     for i in range(n - 1):
         own = ids[starts[i] : starts[i] + size[i]]
         here[own] = 1
         both = np.add.reduceat(here[ids[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
         here[own] = 0
-        near = both >= SIMILARITY * (size[i] + size[i + 1 :] - both) - 1e-9
-        if part is not None:
-            near &= part[i + 1 :] != part[i]
-        for j in np.flatnonzero(near) + i + 1:
-            if comp[j] != comp[i]:
-                comp[comp == comp[j]] = comp[i]
-                found.append((i, int(j)))
-    return found
+        j = np.flatnonzero(both >= SIMILARITY * (size[i] + size[i + 1 :] - both) - 1e-9) + i + 1
+        pairs.append(np.stack([np.full(len(j), i), j]))
+    a, b = np.concatenate(pairs, axis=1)
+    if part is not None:
+        own = part[a] == part[b]
+        label = simhash.spanning(a[own], b[own], n)[1]
+        a, b = a[~own], b[~own]
+        kept = simhash.spanning(label[a], label[b], n)[0]
+    else:
+        kept = simhash.spanning(a, b, n)[0]
+    return list(zip(a[kept].tolist(), b[kept].tolist()))
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +146,7 @@ def near_copies(docs: DataFrame, key: str, part: int = PART) -> DataFrame:
     made = written(docs.select("doc_id", key, _signed(bits)("text").alias("s")).select("doc_id", key, "s.*"))
     shards = made.select("node", "fp", "bands").dropDuplicates(["node"]).select("fp", F.posexplode("bands").alias("band", "value"))
     shards = shards.select("fp", F.shiftleft(F.col("band").cast("long"), bits).bitwiseOR(F.col("value").cast("long")).alias("shard"))
-    near = components(simhash.searched(shards, RADIUS))
+    near = components(simhash.stars(simhash.searched(shards, RADIUS)))
     kinds = made.groupBy("node").agg(F.min(key).alias(key), F.min("fp").alias("fp"))
     kinds = written(kinds.join(near.select(F.col("node").alias("_fp"), F.col("root").alias("band")), F.col("fp") == F.col("_fp"), "left").select("node", key, F.coalesce("band", "fp").alias("band")))
     shared = kinds.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")

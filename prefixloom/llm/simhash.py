@@ -48,6 +48,8 @@ SHARD = 20_000
 LEVELS = 3
 #: Pairs of a search held at once.
 FRONTIER = 1 << 20
+#: Links held at once to make stars of them.
+HELD = 1 << 17
 _PIECE = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
@@ -163,7 +165,7 @@ class Forest:
             d = _apart(fp[q], fp[node])
             hit = np.flatnonzero((d <= self.radius) & (d > 0) & (comp[node] != comp[q]))
             if len(hit):
-                kept, label = _spanning(comp[q[hit]], comp[node[hit]], len(fp))
+                kept, label = spanning(comp[q[hit]], comp[node[hit]], len(fp))
                 found_q.append(q[hit[kept]])
                 found_n.append(node[hit[kept]])
                 comp, one = label[comp], np.where(one < 0, one, label[one])
@@ -180,7 +182,7 @@ class Forest:
         return fp[np.concatenate(found_q)], fp[np.concatenate(found_n)]
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Of links between labels below ``n``, the indexes of a spanning forest; the label that each label gets."""
     label, at, kept = np.arange(n), np.arange(len(a)), []
     while len(at):
@@ -274,6 +276,38 @@ def searched(rows: DataFrame, radius: int) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions(*order).mapInPandas(lambda batches: _search_sorted(batches, radius), f"u {kind}, v {kind}")
 
 
+def _star_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Stars of ``HELD`` links and a batch at a time."""
+
+    def made(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        ends = [b for end in ("u", "v") for f in frames for b in f[end]]
+        rows = np.frombuffer(b"".join(ends), np.uint64).reshape(len(ends), -1)
+        _, first, at = np.unique(rows.view(f"S{8 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        label = spanning(*at.reshape(2, -1), len(first))[1]
+        other = np.flatnonzero(label != np.arange(len(first)))
+        return pd.DataFrame({"u": [ends[i] for i in first[other]], "v": [ends[i] for i in first[label[other]]]}, dtype=object)
+
+    held, rows = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            rows += len(batch)
+        if rows >= HELD:
+            yield made(held)
+            held, rows = [], 0
+    if held:
+        yield made(held)
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """For links (u, v) of wide prints, links with the same components: each print with the least that the links at hand join it to.
+
+    Each shard has its own forest over a group of near copies, with other links. Stars of different shards have mostly the same ones,
+    of which one is left when repeated ones are dropped.
+    """
+    return links.mapInPandas(_star_batches, "u binary, v binary")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (), radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """doc_id, fp (long), component_id and root (the component's least fingerprint) of every row of ``docs``, and the columns ``carry``."""
     if clash := {c.lower() for c in carry} & {"doc_id", "fp", "component_id", "root"}:

@@ -125,3 +125,14 @@ def test_candidates_come_from_prints_and_trees(spark, monkeypatch):
     held = simhash.searched
     monkeypatch.setattr(simhash, "searched", lambda rows, radius: held(rows, radius).where("false"))
     assert groups() == 800
+
+
+def test_links_of_a_cut_group_do_not_grow_with_its_pairs_of_parts():
+    """Two parts whose sets are all near are joined by one link; each part's own unit joins it within."""
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.append(base, np.uint64(1000 + i)) for i in range(20)] + [np.append(base + np.uint64(5000), np.uint64(9000 + i)) for i in range(4)]
+    part = np.arange(24) % 2
+    cross = jaccard.linked(sets, part)
+    assert len(cross) == 2 and all(part[i] != part[j] for i, j in cross)
+    assert len(jaccard.linked(sets)) == 22
+    assert jaccard.linked(sets, np.arange(24)) and len(jaccard.linked(sets, np.arange(24))) == 22

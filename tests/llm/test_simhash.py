@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -168,3 +169,35 @@ def test_a_shard_gives_a_forest_of_links(words):
     got = [(names[u], names[v]) for u, v in zip(links["u"], links["v"])]
     assert joined(got) == joined(near) and len(near) > 10 * len(fp)
     assert len(got) == len(fp) - len(set(joined(near)))
+
+
+def test_stars_of_shards_name_the_same_pairs():
+    """Forests of many shards over one group have many different links, the stars of tasks few, with the same components."""
+    rng = np.random.default_rng(9)
+    fps = np.array([c ^ np.packbits(rng.random(192) < 0.05).view(np.uint64) for c in rng.integers(0, 1 << 63, (3, 3), np.uint64) for _ in range(200)])
+    forests, stars = set(), set()
+    for _ in range(5):
+        shards = [rng.random(len(fps)) < 0.3 for _ in range(12)]
+        links = [simhash._searched(np.zeros(own.sum(), np.int64), fps[own], 58) for own in shards]
+        (star,) = simhash._star_batches(iter([links[0].iloc[:0], *links]))
+        assert len(star) <= 597
+        forests |= {p for x in links for p in zip(x["u"], x["v"])}
+        stars |= set(zip(star["u"], star["v"]))
+
+    def joined(pairs):
+        root = {fp.tobytes(): fp.tobytes() for fp in fps}
+        for u, v in pairs:
+            low, high = sorted((root[u], root[v]))
+            root = {k: low if r == high else r for k, r in root.items()}
+        return root
+
+    assert joined(forests) == joined(stars) and len(set(joined(stars).values())) == 3
+    assert len(forests) > 2 * len(stars)
+
+
+def test_stars_are_held_in_pieces(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 3)
+    name = [bytes([9 - i]) * 24 for i in range(10)]
+    batch = pd.DataFrame({"u": name[:-1], "v": name[1:]})
+    got = list(simhash._star_batches(iter([batch.iloc[:0], batch.iloc[:2], batch.iloc[2:4], batch.iloc[4:]])))
+    assert [[(u, v) for u, v in zip(f["u"], f["v"])] for f in got] == [[(name[i], name[4]) for i in (3, 2, 1, 0)], [(name[i], name[9]) for i in (8, 7, 6, 5, 4)]]
