@@ -201,3 +201,24 @@ def test_stars_are_held_in_pieces(monkeypatch):
     batch = pd.DataFrame({"u": name[:-1], "v": name[1:]})
     got = list(simhash._star_batches(iter([batch.iloc[:0], batch.iloc[:2], batch.iloc[2:4], batch.iloc[4:]])))
     assert [[(u, v) for u, v in zip(f["u"], f["v"])] for f in got] == [[(name[i], name[4]) for i in (3, 2, 1, 0)], [(name[i], name[9]) for i in (8, 7, 6, 5, 4)]]
+
+
+def test_stars_of_tasks_do_not_multiply_links(spark):
+    """Tasks that each hold some of a group have different least prints; a group's links are few all the same, in however many tasks it is."""
+    rng = random.Random(10)
+    prints = [[bytes([g]) + rng.randbytes(23) for _ in range(300)] for g in (1, 2)]
+    tasks = [[rng.sample(group, 60) for group in prints] for _ in range(40)]
+    rows = [[(a, b) for own in task for a, b in zip(own, own[1:])] for task in tasks]
+    links = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)).flatMap(lambda x: x), "u binary, v binary")
+    assert links.rdd.getNumPartitions() == 40 and links.count() == 40 * 2 * 59
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(bytes(r.u), bytes(r.v)) for r in simhash.stars(links).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    joined = spark.createDataFrame([(bytearray(u), bytearray(v)) for u, v in got], "u binary, v binary")
+    roots = {bytes(r.node): bytes(r.root) for r in components(joined).collect()}
+    shared = [{x for task in tasks for x in task[g]} for g in (0, 1)]
+    assert roots == {x: min(own) for own in shared for x in own if x != min(own)}
+    assert len(got) < 1.2 * len(roots)
