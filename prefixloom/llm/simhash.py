@@ -299,21 +299,17 @@ def _star_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield made(held)
 
 
-def _met_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stars of links sorted by both ends: of repeated ones, which are side by side, a batch's are held once."""
-    return _star_batches(batch.drop_duplicates() for batch in batches)
-
-
 def stars(links: DataFrame) -> DataFrame:
     """For links (u, v) of wide prints, links with the same components: each print with the least that the links at hand join it to.
 
-    Each shard has its own forest over a group of near copies, with other links. Stars of one task's shards have mostly the same ones, but
-    other tasks have other least prints, so that a print would have as many links as there are tasks with its shards. Stars are
-    therefore dealt anew by print: a print's links join the least prints of those tasks, and most stars then have the same one. When
-    repeated links are dropped, little more than one is left for each print.
+    Each shard has its own forest over a group of near copies, with other links. Dealt by print, they become stars, of which each task has
+    its own least print; dealt so once more, a print's links join the least prints of those tasks, and most stars have the same one. When
+    repeated links are dropped, little more than one is left for each print, in however many shards and tasks it was. The stars have
+    stages of their own: a Python worker beside the search's would double an executor's workers.
     """
-    dealt = links.mapInPandas(_star_batches, "u binary, v binary").repartition("u").sortWithinPartitions("u", "v")
-    return dealt.mapInPandas(_met_batches, "u binary, v binary")
+    for _ in range(2):
+        links = links.repartition("u").sortWithinPartitions("u", "v").mapInPandas(_star_batches, "u binary, v binary")
+    return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (), radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
